@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_extract, line_dedup, mixing, packing, quality_classifier, quality_rules, secrets, simhash
+from . import fingerprints, html_extract, line_dedup, mixing, packing, quality_classifier, quality_rules, secrets, simhash, substring_dedup
 from .common import table
 
 
@@ -44,5 +44,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("op")}
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL}
