@@ -38,29 +38,42 @@ LOW32, LANES = 0xFFFFFFFF, 0x0000000100000001
 HEX_EXACT, HEX_DIM = 8, 4
 
 
-def vectors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+def vectors(rows: DataFrame, keys: list[str], text: str, sides: dict[str, Column] | None = None) -> DataFrame:
     """(*keys, rows, exact: array of long, pairs: long, ones: array of short) for each key.
 
     Rows with equal keys must have equal texts; ``rows`` says how many there are, and the
-    vector is that of one. Counters modulo 2^16 are held as signed numbers.
+    vector is that of one. Counters modulo 2^16 are held as signed numbers. ``sides``
+    names vectors, each of the texts for which its condition holds, one text a row: one
+    shuffle then serves them all (exact_a, ...), and ``rows`` counts those of the first.
     """
-    paragraphs = rows.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("p_at", "p"))
+    plain = sides is None
+    sides = sides or {"": F.lit(True)}
+    paragraphs = rows.select(*rows.columns, F.posexplode(F.split(F.col(text), "\n")).alias("p_at", "p")).drop(text)
     words = F.split(F.col("p"), " ")
-    pairs = paragraphs.select(
-        *keys, "p_at", "p", F.posexplode(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))).alias("w_at", "w0")
-    )
-    first = F.col("w_at") == 0
+    pairs = paragraphs.select("*", F.posexplode(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))).alias("w_at", "w0"))
     hashes = [F.xxhash64(F.col("p"), F.lit(k)) for k in range(EXACT // 2)]
     halves = [h for x in hashes for h in (x.bitwiseAND(F.lit(LOW32)), F.shiftrightunsigned(x, 32))]
-    exact = [F.sum(F.when(first, h)).alias(f"e{k}") for k, h in enumerate(halves)]
     mixed = [F.col("w0"), *(F.xxhash64("w0", F.lit(k)) for k in range(1, DIMS // 64))]
-    ones = [F.sum(F.shiftright(w, b).bitwiseAND(F.lit(LANES))).alias(f"c{k}_{b}") for k, w in enumerate(mixed) for b in range(32)]
-    sums = pairs.groupBy(*keys).agg(*exact, *ones, F.count("*").alias("n"), F.count(F.when(first & (F.col("p_at") == 0), 1)).alias("rows"))
+    sums = []
+    for side, holds in sides.items():
+        first = holds & (F.col("w_at") == 0)
+        of_side = (lambda x: x) if plain else (lambda x, holds=holds: F.when(holds, x).otherwise(F.lit(0)))
+        sums += [F.sum(F.when(first, h).otherwise(F.lit(0))).alias(f"e{k}{side}") for k, h in enumerate(halves)]
+        sums += [F.sum(of_side(F.shiftright(w, b).bitwiseAND(F.lit(LANES)))).alias(f"c{k}_{b}{side}") for k, w in enumerate(mixed) for b in range(32)]
+        sums += [F.count(F.when(holds, 1)).alias(f"n{side}")]
+    lead = next(iter(sides.values()))
+    summed = pairs.groupBy(*keys).agg(*sums, F.count(F.when(lead & (F.col("w_at") == 0) & (F.col("p_at") == 0), 1)).alias("rows"))
     share = lambda c: F.expr(f"{c} div rows")
     low = lambda c: share(c).bitwiseAND(F.lit(LOW32))
-    counts = [side(f"c{k}_{b}") for k in range(DIMS // 64) for side in (low, lambda c: F.shiftrightunsigned(share(c), 32)) for b in range(32)]
+    high = lambda c: F.shiftrightunsigned(share(c), 32)
     signed = lambda c: (F.pmod(c + (1 << 15), F.lit(1 << 16)) - (1 << 15)).cast("short")
-    return sums.select(*keys, "rows", F.array(*(low(f"e{k}") for k in range(EXACT))).alias("exact"), low("n").alias("pairs"), F.array(*map(signed, counts)).alias("ones"))
+    out = []
+    for side in sides:
+        tail = f"_{side}" if side else ""
+        out.append(F.array(*(low(f"e{k}{side}") for k in range(EXACT))).alias(f"exact{tail}"))
+        out.append(low(f"n{side}").alias(f"pairs{tail}"))
+        out.append(F.array(*(signed(lane(f"c{k}_{b}{side}")) for k in range(DIMS // 64) for lane in (low, high) for b in range(32))).alias(f"ones{tail}"))
+    return summed.select(*keys, "rows", *out)
 
 
 def _padded(x: Column, width: int) -> Column:
@@ -166,22 +179,15 @@ def compared(docs: DataFrame) -> DataFrame:
     size = F.length("text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.left("text", size - half), F.left("next_text", half))
-    keys = ["doc_id", "text_hash", "next_id", "next_hash", "leads"]
-    texts = (
-        with_next(docs)
-        .withColumns({"text_hash": F.xxhash64("text"), "next_hash": F.xxhash64("next_text")})
-        .select(*keys, size.cast("long").alias("n_chars"), F.explode(F.array(F.struct(F.lit(False).alias("edit"), F.col("text").alias("t")), F.struct(F.lit(True).alias("edit"), edited.alias("t")))).alias("v"))
-        .select(*keys, "n_chars", "v.edit", F.when(F.col("v.edit"), F.sha2("v.t", 256)).alias("sha"), "v.t")
-    )
-    found = written(vectors(texts, [*keys, "n_chars", "edit", "sha"], "t"), "vectors")
+    keys = ["doc_id", "text_hash", "next_id", "next_hash", "leads", "n_chars", "sha"]
+    both = with_next(docs).select("doc_id", "leads", "next_id", F.xxhash64("text").alias("text_hash"), F.xxhash64("next_text").alias("next_hash"), size.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    texts = both.withColumn("sha", F.sha2("edited", 256)).select(*keys, F.explode(F.array(F.struct(F.lit(False).alias("edit"), F.col("text").alias("t")), F.struct(F.lit(True).alias("edit"), F.col("edited").alias("t")))).alias("v"))
+    sides = {"a": ~F.col("edit"), "b": F.col("edit")}
+    found = written(vectors(texts.select(*keys, "v.edit", "v.t"), keys, "t", sides), "vectors")
     parts = ["exact", "pairs", "ones"]
-    side = lambda rows, mark, *more: rows.select(*more, *(F.col(c).alias(f"{mark}_{c}") for c in parts))
-    own = side(found.where("not edit"), "a", *(F.col(k).alias(f"a_{k}") for k in keys))
-    new = side(found.where("edit"), "b", *keys, "n_chars", "sha", "rows")
-    following = side(found.where("not edit and leads"), "c", F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"))
-    col = {m: {c: F.col(f"{m}_{c}") for c in parts} for m in "abc"}
-    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"a_{k}")) for k in keys))
-    joined = new.join(own, same).join(following, (F.col("next_id") == F.col("c_id")) & (F.col("next_hash") == F.col("c_hash")), "left")
+    following = found.where("leads").select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"), *(F.col(f"{c}_a").alias(f"{c}_c") for c in parts))
+    col = {m: {c: F.col(f"{c}_{m}") for c in parts} for m in "abc"}
+    joined = found.join(following, (F.col("next_id") == F.col("c_id")) & (F.col("next_hash") == F.col("c_hash")), "left")
     return joined.select(
         "doc_id",
         "n_chars",
