@@ -1,21 +1,28 @@
 """Near-duplicate passages, by compact windows.
 
 Texts are sequences of five-word shingles. Under a hash function, a compact window (l, c, r) holds
-all subsequences around place c within l..r that have their least hash at c. The windows of
-at least ``LEAST`` shingles are read off the Cartesian tree of the hashes: the least place
-splits the sequence, and both parts go on while they are long enough. Two passages that share
+all subsequences around place c within l..r that have their least hash at c: the node c of the
+hashes' Cartesian tree, l..r being what lies below it. The nodes with ``LEAST`` shingles or more
+below them are the places that are the least of some ``LEAST`` in a row, and so sliding
+minima find them without building the tree. Two passages that share
 that share of their shingles agree in one of ``FUNCTIONS`` hash functions almost surely:
 at similarity 0.8 and the least length all three miss with probability 0.008, and longer passages have more windows.
 
-Windows of different documents meet by least hash, then by the ``CONTEXT`` shingles
+Windows of different documents meet by least hash, and by the shingle ``REACH`` places
 before or after it, one side or the other: passages of 50 words at similarity 0.8 have at most one changed
-word, so the place has a whole side within a run without a change. Each group's first document
+word, so a whole side lies within a run without a change. Each group's first document
 (by id) is its source, and every other member is compared with it, so a passage that a third of
 all documents share gives a pair for each of them, not for each two. Pairs are verified on whole texts: runs of equal
 shingles along the windows' diagonals are chained over small gaps, and a chain of at
 least ``LEAST`` shingles on both sides with Jaccard similarity ``SIMILARITY`` is a passage.
-Windows that find no passage with their source are grouped again without it, until none
-that could match is left.
+
+Windows that find no passage with their source are grouped anew by where they part from it,
+to the left and to the right, and by what they have there: two that share a passage which the
+source lacks part from it at one place and in one way. So a line that many share, within different passages, falls apart
+into those passages in as many rounds as it has branches in a row, not in as many as it has members.
+
+Equal texts are one text to all this: the first id stands for them, and each later one is a
+passage of its own, from end to end.
 
 Defined cases: texts of under ``LEAST`` + 4 words, null and empty ones have no passage. Rows
 without an id take no part, as no result could name them. Rows of one id are one document. Repeats within
@@ -37,9 +44,11 @@ from .common import written
 SHINGLE = 5
 LEAST = 46
 FUNCTIONS = 3
-CONTEXT = 8
+REACH = 10
 SIMILARITY = 0.8
 GAP = 12
+#: Shingles that are looked through together.
+CHUNK = 1 << 18
 
 _U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -74,57 +83,87 @@ class Shingler:
         return mixed(s)
 
 
-def compact_windows(values: np.ndarray, least: int = LEAST) -> list[int]:
-    """The places of the windows of ``least`` or more: nodes of the Cartesian tree, from its root.
+def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
+    """The least (or greatest) of every ``width`` values in a row, from two passes over blocks."""
+    take, n = (np.minimum, len(x)) if least else (np.maximum, len(x))
+    blocks = np.full((-(-n // width), width), ~_U(0) if least else _U(0))
+    blocks.reshape(-1)[:n] = x
+    upto = take.accumulate(blocks, axis=1).reshape(-1)
+    since = take.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return take(since[: n - width + 1], upto[width - 1 : n])
+
+
+def compact_windows(values: np.ndarray, owner: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """Places of the compact windows of ``least`` or more, over texts end to end.
 
-    Of equal least values the middle one is taken, so that repeats don't make the tree a list.
+    ``owner`` numbers the text that each value (not zero) is of. Of equal values near
+    each other, as in text that repeats itself, the first, the last and one in each ``least`` stand for all.
     """
-    out, stack = [], [(0, len(values))]
-    while stack:
-        low, high = stack.pop()
-        if high - low < least:
-            continue
-        part = values[low:high]
-        at = int(part.argmin())
-        if at + 1 < len(part) and (same := part[at + 1 :] == part[at]).any():
-            ties = np.flatnonzero(same)
-            at = int(ties[len(ties) // 2]) + at + 1 if len(ties) > 1 else at
-        out.append(low + at)
-        stack += ((low, low + at), (low + at + 1, high))
-    return out
+    n = len(values)
+    if n < least:
+        return np.zeros(0, np.int64)
+    smallest = _sliding(values, least, True)
+    smallest[owner[: n - least + 1] != owner[least - 1 :]] = 0
+    around = np.zeros(n + least - 1, np.uint64)
+    around[least - 1 : n] = smallest
+    places = np.flatnonzero(values == _sliding(around, least, False))
+    order = np.lexsort((places, values[places]))
+    at, value = places[order], values[places[order]]
+    near = (value[1:] == value[:-1]) & (at[1:] - at[:-1] < least) & (owner[at[1:]] == owner[at[:-1]])
+    gone, kept = [], 0
+    for k in (np.flatnonzero(near) + 1).tolist():  # at[k] repeats at[k - 1]
+        if k < 2 or not near[k - 2]:
+            kept = at[k - 1]
+        if k < len(near) and near[k] and at[k] - kept < least:
+            gone.append(at[k])
+        else:
+            kept = at[k]
+    return np.setdiff1d(places, np.array(gone, np.int64), assume_unique=True) if gone else places
 
 
-WINDOW = "key long, doc_id long, at int, before int, after int"
+WINDOW = "key long, doc_id long, at int, before long, after long"
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingles = Shingler()
     seeds = mixed(np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * _ODD[5])
-    steps = np.arange(CONTEXT)
     names = [part.split()[0] for part in WINDOW.split(", ")]
 
-    def context(s: np.ndarray, first: np.ndarray) -> pa.Array:
-        whole = (first >= 0) & (first + CONTEXT <= len(s))
-        spots = np.where(whole, first, 0)[:, None] + steps
-        hashes = mixed((s[np.minimum(spots, len(s) - 1)] * _ODD[steps]).sum(1, dtype=np.uint64))
-        return pa.array((hashes >> _U(33)).astype(np.int32), mask=~whole)
-
+    def found(ids: list[int], texts: list[np.ndarray]) -> pa.RecordBatch:
+        s, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+        owner, starts = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes) - sizes
+        keys, places = [], []
+        for seed in seeds:
+            values = mixed(s ^ seed) | _U(1)
+            at = compact_windows(values, owner)
+            keys.append(values[at])
+            places.append(at)
+        at = np.concatenate(places)
+
+        def beyond(step: int) -> pa.Array:
+            spot = np.clip(at + step, 0, len(s) - 1)
+            inside = (spot == at + step) & (owner[spot] == owner[at])
+            return pa.array(mixed(s[spot] + _ODD[6 + (step > 0)]).view(np.int64), mask=~inside)
+
+        columns = [np.concatenate(keys).view(np.int64), np.array(ids, np.int64)[owner[at]], (at - starts[owner[at]]).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), beyond(-REACH), beyond(REACH)], names)
+
+    ids: list[int] = []
+    texts: list[np.ndarray] = []
+    held = 0
     for batch in batches:
-        parts: list[list] = [[] for _ in names]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             s = shingles(text.as_py())
             if len(s) < LEAST:
                 continue
-            for seed in seeds:
-                values = mixed(s ^ seed)
-                at = np.array(compact_windows(values), np.int64)
-                parts[0].append(pa.array(values[at].view(np.int64)))
-                parts[1].append(pa.array(np.full(len(at), doc_id)))
-                parts[2].append(pa.array(at.astype(np.int32)))
-                parts[3].append(context(s, at - CONTEXT))
-                parts[4].append(context(s, at + 1))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays(p) if p else pa.array([], k) for p, k in zip(parts, kinds)], names)
+            ids.append(doc_id)
+            texts.append(s)
+            held += len(s)
+            if held > CHUNK:
+                yield found(ids, texts)
+                ids, texts, held = [], [], 0
+    if texts:
+        yield found(ids, texts)
 
 
 def passages(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int]], least: int = LEAST) -> list[tuple[int, int, int, int, float]]:
@@ -136,7 +175,7 @@ def passages(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int]], least:
             continue
         edges = np.diff(np.concatenate([[False], a[low:high] == b[low - d : high - d], [False]]).astype(np.int8))
         for start, end in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()):
-            if end - start > CONTEXT:
+            if end - start > REACH:
                 runs.add((low + start, low + end, d))
     chains: list[list[tuple[int, int, int]]] = []
     for run in sorted(runs):
@@ -166,24 +205,57 @@ def passages(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int]], least:
 
 
 SPANS = "array<struct<first:int,end:int,source_first:int,source_end:int,similarity:double>>"
+_SPANS = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("source_first", pa.int32()), ("source_end", pa.int32()), ("similarity", pa.float64())]))
+_AGAIN = pa.list_(pa.struct([("group", pa.int64()), ("at", pa.int32())]))
+
+
+def partings(a: np.ndarray, b: np.ndarray, at: int, other: int, group: int) -> list[int]:
+    """Groups of a window that found no passage: where and how it parts from its source, left and right."""
+    d, out = at - other, []
+    low, high = max(0, d), min(len(a), len(b) + d)
+    right = np.flatnonzero(a[at:high] != b[other : high - d])
+    left = np.flatnonzero((a[low : at + 1] != b[low - d : other + 1])[::-1])
+    for sign, spot in ((1, at + int(right[0]) if len(right) else high), (-1, at - int(left[0]) if len(left) else low - 1)):
+        if 0 <= spot < len(a):
+            what = np.array([group, spot - at, a[spot].view(np.int64)], np.int64).view(np.uint64)
+            out.append(int(mixed((what * _ODD[:3]).sum(dtype=np.uint64, keepdims=True) + _ODD[6 + (sign > 0)]).view(np.int64)[0]))
+    return out
 
 
 def _verifier():
-    kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("source_first", pa.int32()), ("source_end", pa.int32()), ("similarity", pa.float64())]))
+    kind = pa.struct([("spans", _SPANS), ("again", _AGAIN)])
 
-    @F.arrow_udf(SPANS)
+    @F.arrow_udf(f"struct<spans:{SPANS},again:array<struct<group:long,at:int>>>")
     def verify(texts: pa.Array, sources: pa.Array, source_ids: pa.Array, places: pa.Array) -> pa.Array:
         shingles, out, last = Shingler(), [], (None, None)
-        for text, source, source_id, pairs in zip(texts, sources, source_ids.to_pylist(), places):
+        for text, source, source_id, pairs in zip(texts, sources, source_ids.to_pylist(), places.to_pylist()):
             if last[0] != (source_id, source.as_py()):
                 last = ((source_id, source.as_py()), shingles(source.as_py()))
-            spans = passages(shingles(text.as_py()), last[1], [(p["at"], p["source_at"]) for p in pairs.as_py()])
-            out.append([dict(zip(("first", "end", "source_first", "source_end", "similarity"), s)) for s in spans])
+            own = shingles(text.as_py())
+            spans = passages(own, last[1], [(p["at"], p["source_at"]) for p in pairs])
+            again = []
+            for p in pairs:
+                if p["at"] < len(own) and p["source_at"] < len(last[1]) and not any(s[0] <= p["at"] < s[1] for s in spans):
+                    again += [{"group": g, "at": p["at"]} for g in partings(own, last[1], p["at"], p["source_at"], p["group"])]
+            out.append({"spans": [dict(zip(("first", "end", "source_first", "source_end", "similarity"), s)) for s in spans], "again": again})
         return pa.array(out, kind)
 
     return verify
 
 
+def copies(named: DataFrame) -> DataFrame:
+    """(doc_id, words, first_id) of documents whose text an earlier one has too."""
+    text = F.coalesce("text", F.lit(""))
+    prints = named.select("doc_id", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")).alias("p"))
+    one = prints.groupBy("doc_id").agg(F.min("p").alias("p"), F.max("p").alias("q")).where("p = q").select("doc_id", "p")
+    one = written(one.where(F.col("p.words") >= LEAST + SHINGLE - 1), "prints")
+    firsts = one.groupBy("p").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("z")).where("first_id <> z").select("p", "first_id")
+    return one.join(firsts, "p").where("doc_id <> first_id").select("doc_id", F.col("p.words").alias("words"), "first_id")
+
+
+RESULT = "doc_id long, first_word int, end_word int, source_id long, source_first_word int, source_end_word int, similarity double"
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Passages that occur in several documents, in words of the text, ends exclusive.
 
@@ -191,56 +263,58 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     a row for each stretch of a document like one of its source, and one for each such stretch of
     the source itself (``source_id`` = ``doc_id``), which is the first document that has it.
     """
-    spark = docs.sparkSession
-    named = docs.where("doc_id is not null").select("doc_id", "text")
-    found = written(named.mapInArrow(_windows, WINDOW), "windows")
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    later = written(copies(named), "copies")
+    found = written(named.mapInArrow(_windows, WINDOW).join(later.select("doc_id"), "doc_id", "left_anti"), "windows")
     shared = found.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("key")
-    sides = F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).alias("context")) for k, c in enumerate(("before", "after"))))
-    members = written(
-        found.join(shared, "key").select("key", "doc_id", "at", F.explode(sides).alias("s")).where("s.context is not null").select("key", "s.side", "s.context", "doc_id", "at"), "members"
+    sides = F.array("before", "after")
+    members = (
+        found.join(shared, "key")
+        .select("key", "doc_id", "at", F.explode(sides).alias("side"))
+        .where("side is not null")
+        .select(F.xxhash64("key", "side").alias("group"), "doc_id", "at")
     )
-    group = ["key", "side", "context"]
+    results = [later.select("doc_id", F.lit(0).alias("first_word"), F.col("words").cast("int").alias("end_word"), F.col("first_id").alias("source_id"), F.lit(0).alias("source_first_word"), F.col("words").cast("int").alias("source_end_word"), F.lit(1.0).alias("similarity"))]
+    last = SHINGLE - 1
     texts = None
-    results: list[DataFrame] = []
     verify = _verifier()
     while True:
-        sources = members.groupBy(*group).agg(F.min(F.struct("doc_id", "at")).alias("source"), F.max("doc_id").alias("z")).where("source.doc_id <> z")
-        linked = written(
-            members.join(sources.select(*group, "source"), group)
+        members = written(members, "members")
+        sources = members.groupBy("group").agg(F.min(F.struct("doc_id", "at")).alias("source"), F.max("doc_id").alias("z")).where("source.doc_id <> z").select("group", "source")
+        linked = (
+            members.join(sources, "group")
             .where("doc_id <> source.doc_id")
-            .select(*group, "doc_id", "at", F.col("source.doc_id").alias("source_id"), F.col("source.at").alias("source_at")),
-            "links",
+            .groupBy("doc_id", F.col("source.doc_id").alias("source_id"))
+            .agg(F.collect_set(F.struct("group", "at", F.col("source.at").alias("source_at"))).alias("places"))
         )
+        linked = written(linked, "links")
         if linked.isEmpty():
             break
         if texts is None:  # later rounds read but these documents
-            ids = linked.select("doc_id").union(linked.select(F.col("source_id").alias("doc_id"))).union(members.join(sources, group, "left_semi").select("doc_id")).distinct()
+            ids = linked.select("doc_id").union(linked.select(F.col("source_id").alias("doc_id"))).distinct()
             texts = written(named.join(ids, "doc_id", "left_semi"), "texts")
-        pairs = linked.groupBy("doc_id", "source_id").agg(F.collect_set(F.struct("at", "source_at")).alias("places"))
-        with_source = pairs.join(texts.select(F.col("doc_id").alias("source_id"), F.col("text").alias("source")), "source_id")
-        both = with_source.join(texts, "doc_id")
-        checked = written(both.select("doc_id", "source_id", "places", verify("text", "source", "source_id", "places").alias("spans")), "passages")
-        results.append(checked.select("doc_id", "source_id", F.explode("spans").alias("p")))
-        held = F.exists("spans", lambda s: (s["first"] <= F.col("p.at")) & (F.col("p.at") < s["end"]))
-        covered = checked.select("doc_id", "spans", F.explode("places").alias("p")).where(held).select("doc_id", "p.at").distinct()
-        members = written(linked.select(*group, "doc_id", "at").distinct().join(covered, ["doc_id", "at"], "left_anti"), "members")
-    columns = ["doc_id", "first_word", "end_word", "source_id", "source_first_word", "source_end_word", "similarity"]
-    if not results:
-        return spark.createDataFrame([], "doc_id long, first_word int, end_word int, source_id long, source_first_word int, source_end_word int, similarity double")
-    spans = results[0]
+        # The source's text comes last: it isn't shuffled again, however many documents it is compared with.
+        both = linked.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("source_id"), F.col("text").alias("source")), "source_id")
+        checked = written(both.select("doc_id", "source_id", verify("text", "source", "source_id", "places").alias("v")).select("doc_id", "source_id", "v.*"), "passages")
+        spans = checked.select("doc_id", "source_id", F.explode("spans").alias("p"))
+        results.append(
+            spans.select(
+                "doc_id", F.col("p.first").alias("first_word"), (F.col("p.end") + last).alias("end_word"),
+                "source_id", F.col("p.source_first").alias("source_first_word"), (F.col("p.source_end") + last).alias("source_end_word"), F.round("p.similarity", 6).alias("similarity"),
+            )
+        )
+        # A window that lies within a passage found with some source needs no other one.
+        again = checked.select("doc_id", F.explode("again").alias("g")).select("doc_id", "g.*").distinct()
+        alone = again.groupBy("group").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("group")
+        members = again.join(alone, "group").select("group", "doc_id", "at")
+        covered = spans.select("doc_id", "p.first", "p.end").groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+        members = members.join(covered, "doc_id", "left").where(~F.coalesce(F.exists("spans", lambda s: (s["first"] <= F.col("at")) & (F.col("at") < s["end"])), F.lit(False))).select("group", "doc_id", "at")
+    rows = results[0]
     for more in results[1:]:
-        spans = spans.union(more)
-    last = SHINGLE - 1
-    rows = spans.select(
-        "doc_id",
-        F.col("p.first").alias("first_word"),
-        (F.col("p.end") + last).alias("end_word"),
-        "source_id",
-        F.col("p.source_first").alias("source_first_word"),
-        (F.col("p.source_end") + last).alias("source_end_word"),
-        F.round("p.similarity", 6).alias("similarity"),
-    ).distinct()
+        rows = rows.union(more)
+    rows = rows.distinct()
     own = rows.select(
         F.col("source_id").alias("doc_id"), F.col("source_first_word").alias("first_word"), F.col("source_end_word").alias("end_word"), "source_id", "source_first_word", "source_end_word", F.lit(1.0).alias("similarity")
     ).distinct()
+    columns = [c.split()[0] for c in RESULT.split(", ")]
     return rows.select(*columns).union(own.select(*columns))
