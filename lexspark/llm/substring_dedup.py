@@ -166,10 +166,10 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(ids, texts)
 
 
-def passages(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int]], least: int = LEAST) -> list[tuple[int, int, int, int, float]]:
+def passages(a: np.ndarray, b: np.ndarray, at: np.ndarray, other: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int, int, float]]:
     """(first, end, first, end, similarity): near-equal stretches of two shingle sequences, around pairs of places."""
     runs = set()
-    for d in {i - j for i, j in places}:
+    for d in np.unique(at.astype(np.int64) - other).tolist():
         low, high = max(0, d), min(len(a), len(b) + d)
         if high <= low:
             continue
@@ -223,22 +223,34 @@ def partings(a: np.ndarray, b: np.ndarray, at: int, other: int, group: int) -> l
 
 
 def _verifier():
-    kind = pa.struct([("spans", _SPANS), ("again", _AGAIN)])
+    def lists(kind: pa.ListType, cuts: list[int], columns: list[list]) -> pa.Array:
+        fields = [kind.value_type.field(k) for k in range(len(columns))]
+        flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], names=[f.name for f in fields])
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)
 
     @F.arrow_udf(f"struct<spans:{SPANS},again:array<struct<group:long,at:int>>>")
     def verify(texts: pa.Array, sources: pa.Array, source_ids: pa.Array, places: pa.Array) -> pa.Array:
-        shingles, out, last = Shingler(), [], (None, None)
-        for text, source, source_id, pairs in zip(texts, sources, source_ids.to_pylist(), places.to_pylist()):
+        shingles, last = Shingler(), (None, None)
+        spans: list[tuple] = []
+        again: list[tuple] = []
+        cuts: list[list[int]] = [[0], [0]]
+        fields = places.flatten().flatten()  # group, at, source_at of all rows
+        starts = places.offsets.to_numpy() - places.offsets[0].as_py()
+        group, at, other = (f.to_numpy() for f in fields)
+        for k, (text, source, source_id) in enumerate(zip(texts, sources, source_ids.to_pylist())):
             if last[0] != (source_id, source.as_py()):
                 last = ((source_id, source.as_py()), shingles(source.as_py()))
-            own = shingles(text.as_py())
-            spans = passages(own, last[1], [(p["at"], p["source_at"]) for p in pairs])
-            again = []
-            for p in pairs:
-                if p["at"] < len(own) and p["source_at"] < len(last[1]) and not any(s[0] <= p["at"] < s[1] for s in spans):
-                    again += [{"group": g, "at": p["at"]} for g in partings(own, last[1], p["at"], p["source_at"], p["group"])]
-            out.append({"spans": [dict(zip(("first", "end", "source_first", "source_end", "similarity"), s)) for s in spans], "again": again})
-        return pa.array(out, kind)
+            own, part = shingles(text.as_py()), slice(starts[k], starts[k + 1])
+            inside = (at[part] < len(own)) & (other[part] < len(last[1]))  # an id may have several texts
+            found = passages(own, last[1], at[part][inside], other[part][inside])
+            spans += found
+            for g, i, j in zip(group[part][inside].tolist(), at[part][inside].tolist(), other[part][inside].tolist()):
+                if not any(s[0] <= i < s[1] for s in found):
+                    again += [(x, i) for x in partings(own, last[1], i, j, g)]
+            cuts[0].append(len(spans))
+            cuts[1].append(len(again))
+        both = [lists(_SPANS, cuts[0], [[s[k] for s in spans] for k in range(5)]), lists(_AGAIN, cuts[1], [[g[k] for g in again] for k in range(2)])]
+        return pa.StructArray.from_arrays(both, names=["spans", "again"])
 
     return verify
 
