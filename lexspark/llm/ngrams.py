@@ -63,7 +63,7 @@ def scores(docs: DataFrame, model: DataFrame, values: list[str], buckets: int, l
     return summed.select("doc_id", "text_hash", "rows", *(F.expr(f"{c} div rows").alias(c) for c in ("n", *values)))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int, domain: Column) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, most: int, domain: Column, how: str = "inner") -> DataFrame:
     """Rows of ``docs`` with their ``domain``, for a sample of at most ``most`` labelled ids.
 
     The sample is the ids with the least hashes, so it is the same at every run; its bound
@@ -71,4 +71,4 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int, domain: Column) -> D
     """
     known = labels.select("doc_id", domain.alias("domain")).where("doc_id is not null and domain is not null").dropDuplicates(["doc_id"])
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", how)
