@@ -1,8 +1,8 @@
 """Mixing to target weights with soft domain membership, in DataFrame functions alone.
 
 A classifier trained on the label table predicts for each document how likely it belongs to
-each domain (``good``, ``low``, ``toxic``): naive Bayes over hashed words with shrunken
-log ratios against the first domain (see ``ngrams``). A document's rate is how many times it is expected to
+each domain (``good``, ``low``, ``toxic``): naive Bayes over hashed words, each counted once a
+document in training, with shrunken log ratios against the first domain (see ``ngrams``). A document's rate is how many times it is expected to
 enter the mix. Projected gradient descent fits the rates, within 0 and ``MOST_RATE``, to
 least squares between the domains' expected token totals and their targets: the total
 budget is what gives the first domain all its tokens, and each domain is to get its weight's part.
@@ -42,7 +42,7 @@ def domain_of_labels() -> Column:
 
 def model(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, buckets: int = BUCKETS) -> tuple[DataFrame, dict[str, int]]:
     """(bucket, a weight for each domain but the first), and the domains' numbers of labelled documents."""
-    known = written(labelled(docs, labels, most, domain_of_labels()).select("domain", grams(F.col("text"), buckets).alias("g")), "labelled")
+    known = written(labelled(docs, labels, most, domain_of_labels()).select("domain", F.array_distinct(grams(F.col("text"), buckets)).alias("g")), "labelled")
     sizes = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     counts = known.select("domain", F.explode("g").alias("bucket")).groupBy("bucket").agg(*(F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS))
     counts = written(counts, "domains")

