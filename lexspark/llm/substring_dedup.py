@@ -13,7 +13,8 @@ before or after it, one side or the other: passages of 50 words at similarity 0.
 word, so a whole side lies within a run without a change. Each group's first document
 (by id) is its source, and every other member is compared with it, so a passage that a third of
 all documents share gives a pair for each of them, not for each two. Pairs are verified on whole texts: runs of equal
-shingles along the windows' diagonals are chained over small gaps, and a chain of at
+shingles along the windows' diagonals, and those that follow them within ``GAP`` on any other
+diagonal, are chained over small gaps, and a chain of at
 least ``LEAST`` shingles on both sides with Jaccard similarity ``SIMILARITY`` is a passage.
 
 Windows that find no passage with their source are grouped anew by where they part from it,
@@ -166,6 +167,41 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(ids, texts)
 
 
+def _equal_from(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+    """How many values in a row are equal from places i and j on."""
+    n, at, step = min(len(a) - i, len(b) - j), 0, 64
+    while at < n:
+        m = min(step, n - at)
+        other = np.flatnonzero(a[i + at : i + at + m] != b[j + at : j + at + m])
+        if len(other):
+            return at + int(other[0])
+        at, step = at + m, 2 * step
+    return n
+
+
+def continuations(a: np.ndarray, b: np.ndarray, end: int, other: int) -> list[tuple[int, int, int]]:
+    """(place, place, length) of the runs that may follow one that ends before these places.
+
+    They start within ``GAP`` on any diagonal, at whatever length: the longest and the nearest.
+    """
+    i, j = max(0, end - SHINGLE + 1), max(0, other - SHINGLE + 1)
+    p, q = max(0, i - 1), max(0, j - 1)
+    equal = a[p : end + GAP + 1, None] == b[None, q : other + GAP + 1]
+    if not equal.any():
+        return []
+    starts = equal.copy()
+    starts[1:, 1:] &= ~equal[:-1, :-1]
+    found = [(x, y, _equal_from(a, b, x, y)) for x, y in (np.argwhere(starts[i - p :, j - q :]) + (i, j)).tolist()]
+    if not found:
+        return []
+    return [max(found, key=lambda r: (r[2], -r[0] - r[1])), min(found, key=lambda r: (abs(r[0] - end) + abs(r[1] - other), -r[2]))]
+
+
+def gaps(last: tuple[int, int, int], run: tuple[int, int, int]) -> tuple[int, int]:
+    """Shingles between two runs, on either side."""
+    return run[0] - last[1], (run[0] - run[2]) - (last[1] - last[2])
+
+
 def passages(a: np.ndarray, b: np.ndarray, at: np.ndarray, other: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int, int, float]]:
     """(first, end, first, end, similarity): near-equal stretches of two shingle sequences, around pairs of places."""
     runs = set()
@@ -177,11 +213,20 @@ def passages(a: np.ndarray, b: np.ndarray, at: np.ndarray, other: np.ndarray, le
         for start, end in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()):
             if end - start > REACH:
                 runs.add((low + start, low + end, d))
+    # An inserted or deleted word moves the rest of a passage to a diagonal where no window may have met.
+    back, back_b, open_ends = a[::-1], b[::-1], list(runs)
+    while open_ends:
+        start, end, d = open_ends.pop()
+        more = [(x, x + n, x - y) for x, y, n in continuations(a, b, end, end - d)]
+        more += [(len(a) - x - n, len(a) - x, len(a) - x - len(b) + y) for x, y, n in continuations(back, back_b, len(a) - start, len(b) - start + d)]
+        new = set(more) - runs
+        runs |= new
+        open_ends += new
     chains: list[list[tuple[int, int, int]]] = []
     for run in sorted(runs):
         for chain in reversed(chains[-8:]):
             last = chain[-1]
-            gap, other = run[0] - last[1], (run[0] - run[2]) - (last[1] - last[2])
+            gap, other = gaps(last, run)
             if -SHINGLE < gap <= GAP and -SHINGLE < other <= GAP:
                 chain.append(run)
                 break
@@ -199,7 +244,7 @@ def passages(a: np.ndarray, b: np.ndarray, at: np.ndarray, other: np.ndarray, le
         if similarity >= SIMILARITY:
             found.append((first, end, other, other_end, min(1.0, similarity)))
         elif len(chain) > 1:
-            cut = max(range(1, len(chain)), key=lambda k: chain[k][0] - chain[k - 1][1])
+            cut = max(range(1, len(chain)), key=lambda k: max(gaps(chain[k - 1], chain[k])))
             chains += [chain[:cut], chain[cut:]]
     return sorted(found)
 

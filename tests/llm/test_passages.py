@@ -108,6 +108,36 @@ def test_planted_passages_in_shared_surroundings(spark):
             assert not got[i]
 
 
+def edited(words, kind):
+    half = len(words) // 2
+    return words[:half] + ["inserted"] * (kind == "insert") + words[half + (kind == "delete") :]
+
+
+def test_a_moved_half_is_found_from_the_other():
+    shingles = sub.Shingler()
+    for n in (52, 56, 60):
+        for kind in ("insert", "delete"):
+            own, other = passage(1, 40), passage(2, 40)
+            text, changed = passage(3, n), edited(passage(3, n), kind)
+            a, b = (shingles(" ".join(x)) for x in (own[:20] + text + own[20:], other[:33] + changed + other[33:]))
+            for at in (22, 20 + n - 10):  # a window that met in the left half alone, or in the right one alone
+                moved = 13 + (at > 22) * (len(changed) - n)
+                found = sub.passages(a, b, np.array([at]), np.array([at + moved]))
+                assert [f[:4] for f in found] == [(20, 20 + n - 4, 33, 33 + len(changed) - 4)], (n, kind, at)
+
+
+def test_planted_passages_with_an_inserted_or_deleted_word(spark):
+    rows, where = [], {}
+    for k in range(120):
+        own, text = passage(2000 + k, 80), passage(1000 + k, (52, 56, 60)[k % 3])
+        for i, middle in ((2 * k, text), (2 * k + 1, edited(text, ("insert", "delete")[k % 2]))):
+            rows.append((i, " ".join(own[: 40 * (i % 2) + 10] + middle + passage(5000 + i, 60))))
+            where[i] = (40 * (i % 2) + 10, 40 * (i % 2) + 10 + len(middle))
+    got = covered(sub.repeated_passages(frame(spark, rows)).collect())
+    whole = sum(set(range(*where[i])) <= got[i] for i in where)
+    assert whole >= 0.98 * len(where), whole
+
+
 def test_awkward_rows(spark):
     got = covered(sub.repeated_passages(frame(spark)).collect())
     assert set(got) == {3, 7, 12, 28}
