@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import line_dedup, mixing, packing, quality_rules, simhash
+from lexspark.llm import line_dedup, mixing, near_copies, packing, quality_rules
 from lexspark.llm.common import table, written
 
 
@@ -20,7 +20,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one document stays."""
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
