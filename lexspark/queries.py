@@ -311,7 +311,7 @@ def ordered_apply(spark, sf_dir):
 def _benchmark_queries(spark: SparkSession, sf_dir: str, index: IndexView) -> dict[str, str]:
     """The queries of the benchmark table, one each item: a batch of queries is small by nature."""
     rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").collect()
-    texts = {str(r["item_id"]): " ".join(r["text"].split()[:12]) for r in rows}
+    texts = {str(r["item_id"]): r["text"] or "" for r in rows}
     return {q: t for q, x in texts.items() if (t := free_text(index, x, "body"))}
 
 

@@ -213,3 +213,12 @@ def test_shards_equal_the_whole(spark):
         assert sum(r.matches for r in counts.collect()) == whole.total_hits
     nodes = spark.createDataFrame([("a", "suspect", 0, 0), ("b", "healthy", 1, 3), ("c", "healthy", 1, 2), ("d", "draining", 0, 0)], "node_id string, health string, lag long, inflight long")
     assert read_replica(nodes, 5).first()[0] == "c" and read_replica(nodes, -1).count() == 0
+
+
+def test_benchmark_queries_are_whole_texts(spark, small):
+    from lexspark import queries
+
+    index = queries.index_for(spark, small, "documents")
+    asked = queries._benchmark_queries(spark, small, index)
+    rows = spark.read.parquet(f"{small}/benchmark.parquet").collect()
+    assert len(asked) == len(rows) and asked == {str(r["item_id"]): free_text(index, r["text"], "body") for r in rows}
