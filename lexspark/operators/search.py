@@ -143,13 +143,13 @@ def _or_leaves(node: Plan) -> list[TermPlan] | None:
     return out
 
 
-def batch_search(index: IndexView, queries: Mapping[str, str | Node | Plan], k: int = 10, options: PlanOptions | None = None, scoring: Bm25 | None = None) -> DataFrame:
+def batch_search(index: IndexView, queries: Mapping[str, str | Node | Plan], k: int | None = 10, options: PlanOptions | None = None, scoring: Bm25 | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) of many queries.
 
     All queries of terms and ORs run as one scan: their terms join the postings (there are as many rows
     as the queries have terms, so that side is broadcast), scores are summed by query and document in
     the plan's order, and each query's k best are ranked, first within partial groups so that a
-    query's matches are never sorted whole in one task. Other queries are compiled one by one.
+    query's matches are never sorted whole in one task. Without k all matches come, unranked (rank null). Other queries are compiled one by one.
     """
     spark, scoring = index.docs.sparkSession, scoring or Bm25()
     trees = {q: parse(x) if isinstance(x, str) else x for q, x in queries.items()}
@@ -176,6 +176,8 @@ def batch_search(index: IndexView, queries: Mapping[str, str | Node | Plan], k:
     hits = summed.select("query_id", "doc_id", F.aggregate("l", F.lit(0.0), lambda a, x: a + x["s"]).alias("score"))
     for part in parts:
         hits = hits.union(part)
+    if k is None:
+        return hits.withColumn("rank", F.lit(None).cast("int"))
     order = [F.desc("score"), F.asc("doc_id")]
     some = hits.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
     near = some.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("r") <= k)

@@ -317,7 +317,7 @@ def _benchmark_queries(spark: SparkSession, sf_dir: str, index: IndexView) -> di
 
 def batch_search_topk(spark, sf_dir):
     index = index_for(spark, sf_dir, "documents")
-    hits = batch_search(index, {"q1": "body:that OR body:with", "q2": "lang:fr", "q3": "body:from OR source:src1 OR lang:de", "q4": "body:that AND lang:en"}, 1_000_000)
+    hits = batch_search(index, {"q1": "body:that OR body:with", "q2": "lang:fr", "q3": "body:from OR source:src1 OR lang:de", "q4": "body:that AND lang:en"}, None)
     return _rounded(hits.drop("rank"))
 
 

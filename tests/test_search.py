@@ -222,3 +222,12 @@ def test_benchmark_queries_are_whole_texts(spark, small):
     asked = queries._benchmark_queries(spark, small, index)
     rows = spark.read.parquet(f"{small}/benchmark.parquet").collect()
     assert len(asked) == len(rows) and asked == {str(r["item_id"]): free_text(index, r["text"], "body") for r in rows}
+
+
+def test_batch_search_topk_returns_all_matches(spark, small, monkeypatch):
+    from lexspark import queries
+
+    asked = []
+    monkeypatch.setattr(queries, "batch_search", lambda index, trees, k: asked.append(k) or batch_search(index, trees, k))
+    got = queries.batch_search_topk(spark, small).where("query_id = 'q2'").count()
+    assert asked == [None] and got == spark.read.parquet(f"{small}/documents.parquet").where("lang = 'fr'").count()
