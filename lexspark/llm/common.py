@@ -43,20 +43,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append((spark, path, out))
+    return out
 
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: list[tuple[SparkSession, str, DataFrame]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing reads any more."""
+    for k, (spark, path, out) in enumerate(_WRITTEN):
+        if out is df:
+            del _WRITTEN[k]
+            _delete(spark, path)
+            return
 
 
 def drop_written() -> None:
     """Deletes the tables of ``written``; call it once no result reads them any more."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+        spark, path, _ = _WRITTEN.pop()
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone at exit
             return
 
@@ -72,5 +86,23 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+#: Bits of the filter of ``with_ids``, in words of 64.
+FILTER_WORDS = 1 << 20
+
+
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without most of the rows whose ``doc_id`` isn't among ``ids``; a join has to follow.
+
+    The ids set bits in a filter of ``FILTER_WORDS`` words at most, which is all that is
+    broadcast, so rows that a join would drop aren't shuffled for it. With very many ids the filter
+    lets all rows through.
+    """
+    word = lambda c: F.pmod(F.shiftright(F.xxhash64(c), 6), F.lit(FILTER_WORDS)).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(c).bitwiseAND(F.lit(63)).cast("int"))
+    bits = ids.groupBy(word("doc_id").alias("filter_word")).agg(F.bit_or(bit("doc_id")).alias("filter_bits"))
+    met = docs.join(F.broadcast(bits), word("doc_id") == F.col("filter_word"))
+    return met.where(F.col("filter_bits").bitwiseAND(bit("doc_id")) != 0).select(*docs.columns)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

@@ -1,21 +1,26 @@
 """Near-duplicate passages, by compact windows.
 
 Texts are sequences of five-word shingles. Under a hash function, a compact window (l, c, r) holds
-all subsequences around place c within l..r that have their least hash at c: the node c of the
-hashes' Cartesian tree, l..r being what lies below it. The nodes with ``LEAST`` shingles or more
-below them are the places that are the least of some ``LEAST`` in a row, and so sliding
-minima find them without building the tree. Two passages that share
-that share of their shingles agree in one of ``FUNCTIONS`` hash functions almost surely:
-at similarity 0.8 and the least length all three miss with probability 0.008, and longer passages have more windows.
-
-Windows of different documents meet by least hash, and by the shingle ``REACH`` places
-before or after it, one side or the other: passages of 50 words at similarity 0.8 have at most one changed
-word, so a whole side lies within a run without a change. Each group's first document
-(by id) is its source, and every other member is compared with it, so a passage that a third of
-all documents share gives a pair for each of them, not for each two. Pairs are verified on whole texts: runs of equal
+all subsequences around place c within l..r that have their least hash at c: a node of the
+hashes' Cartesian tree, l..r being what lies below it. Nodes with ``LEAST`` shingles or more
+below them are the places that are the least of some ``LEAST`` in a row, which
+sliding minima find; they are closed upwards, so the tree is built over them alone.
+
+Two subsequences whose signatures agree in a function lie in windows of one least hash. Windows of
+``AGREE`` of the ``FUNCTIONS`` functions are joined by interval within each document: those that
+hold each other's least place and have ``LEAST`` shingles or more in common stand for the
+subsequences with both least hashes. Documents meet by such a pair of hashes, so only where enough hashes
+agree on one stretch. Two passages at similarity 0.8 and the least length have two of four
+functions in common with probability 0.97, and longer ones have more windows. Windows whose least hash is in one
+document only go before that join.
+
+Each group's first document (by id) is its source, and every other member is compared with it, so a
+passage that a third of all documents share gives a pair for each of them, not for each two. Pairs are
+verified on the ``MARGIN`` shingles around their windows' places, read as blocks of hashes: runs of equal
 shingles along the windows' diagonals, and those that follow them within ``GAP`` on any other
 diagonal, are chained over small gaps, and a chain of at
-least ``LEAST`` shingles on both sides with Jaccard similarity ``SIMILARITY`` is a passage.
+least ``LEAST`` shingles on both sides with Jaccard similarity ``SIMILARITY`` is a passage. A passage of which more than
+twice ``MARGIN`` have no window in common comes as several.
 
 Windows that find no passage with their source are grouped anew by where they part from it,
 to the left and to the right, and by what they have there: two that share a passage which the
@@ -26,12 +31,14 @@ Equal texts are one text to all this: the first id stands for them, and each lat
 passage of its own, from end to end.
 
 Defined cases: texts of under ``LEAST`` + 4 words, null and empty ones have no passage. Rows
-without an id take no part, as no result could name them. Rows of one id are one document. Repeats within
+without an id take no part, as no result could name them. Rows of one id and text are one
+document; of several texts with one id that with the least hash counts. Repeats within
 one document are left to the other operators. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,14 +47,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, with_ids, written
 
 SHINGLE = 5
 LEAST = 46
-FUNCTIONS = 3
+FUNCTIONS, AGREE = 4, 2
+#: Runs of equal shingles along a diagonal that count by themselves are longer than this.
 REACH = 10
 SIMILARITY = 0.8
 GAP = 12
+#: Shingles to either side of a place that verification reads, in whole blocks.
+MARGIN = BLOCK = 64
 #: Shingles that are looked through together.
 CHUNK = 1 << 18
 
@@ -122,42 +132,73 @@ def compact_windows(values: np.ndarray, owner: np.ndarray, least: int = LEAST) -
     return np.setdiff1d(places, np.array(gone, np.int64), assume_unique=True) if gone else places
 
 
-WINDOW = "key long, doc_id long, at int, before long, after long"
+def extents(values: np.ndarray, owner: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far each place's compact window goes to the left and to the right of it.
+
+    The Cartesian tree over the places, by a stack of its right spine. A window ends before
+    a lesser value, an equal one and the text's end.
+    """
+    ends = np.flatnonzero(np.diff(owner, append=-1)) + 1
+    of = owner[places]
+    low, high = (np.concatenate([[0], ends[:-1]])[of], ends[of]) if len(ends) else (places, places)
+    left, right = low.tolist(), high.tolist()  # exclusive on the right
+    stack: list[int] = []
+    text = -1
+    at, value = places.tolist(), values[places].tolist()
+    for k, (o, v) in enumerate(zip(of.tolist(), value)):
+        if o != text:
+            stack.clear()
+            text = o
+        while stack and value[stack[-1]] >= v:
+            top = stack.pop()
+            right[top] = at[k]
+            if value[top] == v:
+                left[k] = at[top] + 1
+                break
+        else:
+            if stack:
+                left[k] = at[stack[-1]] + 1
+        stack.append(k)
+    return places - np.array(left, np.int64), np.array(right, np.int64) - 1 - places
+
+
+#: ``place`` holds a window's place, and how far it goes to the left and to the right (to ``FAR`` at most: longer passages hold shorter ones).
+WINDOWS = "doc_id long, text_hash long, words int, key array<long>, place array<long>"
+FAR = (1 << 16) - 1
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's compact windows; the last bits of a key tell the function."""
     shingles = Shingler()
     seeds = mixed(np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * _ODD[5])
-    names = [part.split()[0] for part in WINDOW.split(", ")]
+    names = [part.split()[0] for part in WINDOWS.split(", ")]
 
-    def found(ids: list[int], texts: list[np.ndarray]) -> pa.RecordBatch:
+    def found(ids: list[tuple], texts: list[np.ndarray]) -> pa.RecordBatch:
         s, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
         owner, starts = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes) - sizes
-        keys, places = [], []
-        for seed in seeds:
-            values = mixed(s ^ seed) | _U(1)
-            at = compact_windows(values, owner)
-            keys.append(values[at])
-            places.append(at)
-        at = np.concatenate(places)
-
-        def beyond(step: int) -> pa.Array:
-            spot = np.clip(at + step, 0, len(s) - 1)
-            inside = (spot == at + step) & (owner[spot] == owner[at])
-            return pa.array(mixed(s[spot] + _ODD[6 + (step > 0)]).view(np.int64), mask=~inside)
-
-        columns = [np.concatenate(keys).view(np.int64), np.array(ids, np.int64)[owner[at]], (at - starts[owner[at]]).astype(np.int32)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), beyond(-REACH), beyond(REACH)], names)
-
-    ids: list[int] = []
+        parts = []
+        for k, seed in enumerate(seeds):
+            values = mixed(s ^ seed) | _U(7)  # not zero
+            places = compact_windows(values, owner)
+            parts.append((values[places] ^ _U(k), places, *extents(values, owner, places)))
+        key, at, left, right = (np.concatenate(c) for c in zip(*parts))
+        order = np.argsort(owner[at], kind="stable")
+        own = owner[at][order]
+        cuts = pa.array(np.searchsorted(own, np.arange(len(texts) + 1)).astype(np.int32))
+        place = (at - starts[owner[at]]) << 32 | np.minimum(left, FAR) << 16 | np.minimum(right, FAR)
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(c[order])) for c in (key.view(np.int64), place)]
+        words = pa.array((sizes + SHINGLE - 1).astype(np.int32))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*ids)), words, *lists], names)
+
+    ids: list[tuple] = []
     texts: list[np.ndarray] = []
     held = 0
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for *own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             s = shingles(text.as_py())
             if len(s) < LEAST:
                 continue
-            ids.append(doc_id)
+            ids.append(own)
             texts.append(s)
             held += len(s)
             if held > CHUNK:
@@ -167,6 +208,44 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(ids, texts)
 
 
+def agreements(key: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(group, place) of each two windows of one document that share ``least`` shingles and hold each other's places."""
+    groups, places = [], []
+    function = (key & 7).astype(np.int64)
+    low, high = at - left, at + right
+    order = np.lexsort((at, function))
+    parts = [order[function[order] == f] for f in np.unique(function)]
+    for n, a in enumerate(parts):
+        for b in parts[n + 1 :]:
+            first, end = np.searchsorted(at[b], low[a]), np.searchsorted(at[b], high[a], "right")
+            size = end - first
+            x = np.repeat(a, size)
+            y = b[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)]
+            both = np.minimum(high[x], high[y]) - np.maximum(low[x], low[y]) + 1 >= least
+            both &= (low[y] <= at[x]) & (at[x] <= high[y])
+            x, y = x[both], y[both]
+            groups.append(mixed(key[x].view(np.uint64) * _ODD[0] + mixed(key[y].view(np.uint64))).view(np.int64))
+            places.append(at[x])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *groups]), np.concatenate([none, *places])
+
+
+def _grouped():
+    kind = pa.struct([("group", pa.int64()), ("at", pa.int32())])
+
+    @F.arrow_udf("array<struct<group:long,at:int>>")
+    def groups(windows: pa.Array) -> pa.Array:
+        key, place = (f.to_numpy() for f in windows.flatten().flatten())
+        columns = (key, place >> 32, place >> 16 & FAR, place & FAR)
+        cuts = (windows.offsets.to_numpy() - windows.offsets[0].as_py()).tolist()
+        found = [agreements(*(c[a:b] for c in columns)) for a, b in zip(cuts, cuts[1:])]
+        flat = [np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(2)]
+        values = pa.StructArray.from_arrays([pa.array(flat[0]), pa.array(flat[1].astype(np.int32))], fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f[0]) for f in found)]).astype(np.int32)), values)
+
+    return groups
+
+
 def _equal_from(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
     """How many values in a row are equal from places i and j on."""
     n, at, step = min(len(a) - i, len(b) - j), 0, 64
@@ -223,8 +302,10 @@ def passages(a: np.ndarray, b: np.ndarray, at: np.ndarray, other: np.ndarray, le
         runs |= new
         open_ends += new
     chains: list[list[tuple[int, int, int]]] = []
+    near: list[list[tuple[int, int, int]]] = []  # those that a run may still follow
     for run in sorted(runs):
-        for chain in reversed(chains[-8:]):
+        near = [c for c in near if run[0] - c[-1][1] <= GAP]
+        for chain in reversed(near):
             last = chain[-1]
             gap, other = gaps(last, run)
             if -SHINGLE < gap <= GAP and -SHINGLE < other <= GAP:
@@ -232,6 +313,7 @@ def passages(a: np.ndarray, b: np.ndarray, at: np.ndarray, other: np.ndarray, le
                 break
         else:
             chains.append([run])
+            near.append(chains[-1])
     found = []
     while chains:
         chain = chains.pop()
@@ -261,53 +343,110 @@ def partings(a: np.ndarray, b: np.ndarray, at: int, other: int, group: int) -> l
     right = np.flatnonzero(a[at:high] != b[other : high - d])
     left = np.flatnonzero((a[low : at + 1] != b[low - d : other + 1])[::-1])
     for sign, spot in ((1, at + int(right[0]) if len(right) else high), (-1, at - int(left[0]) if len(left) else low - 1)):
-        if 0 <= spot < len(a):
-            what = np.array([group, spot - at, a[spot].view(np.int64)], np.int64).view(np.uint64)
+        if 0 <= spot < len(a) and a[spot] < _APART[0]:
+            what = np.array([group, spot - at, a[spot]], np.int64).view(np.uint64)
             out.append(int(mixed((what * _ODD[:3]).sum(dtype=np.uint64, keepdims=True) + _ODD[6 + (sign > 0)]).view(np.int64)[0]))
     return out
 
 
+#: What stands for shingles that weren't read, of a document and of its source: equal to nothing.
+_APART = np.array([1 << 40, 1 << 41], np.int64)
+
+
+def blocks_of(shingles: np.ndarray, places: np.ndarray) -> list[tuple[int, bytes]]:
+    """(number, 32-bit hashes) of the blocks around the places."""
+    wanted = np.unique((places[:, None] + np.array([-MARGIN, 0, MARGIN])) // BLOCK)
+    raw = (shingles >> _U(32)).astype("<u4").tobytes()
+    return [(k, raw[4 * BLOCK * k : 4 * BLOCK * (k + 1)]) for k in wanted.tolist() if 0 <= BLOCK * k < len(shingles)]
+
+
+def _cut_blocks():
+    kind = pa.list_(pa.struct([("block", pa.int32()), ("hashes", pa.binary())]))
+
+    @F.arrow_udf("array<struct<block:int,hashes:binary>>")
+    def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
+        shingles, out = Shingler(), []
+        for text, at in zip(texts.to_pylist(), places.to_pylist()):
+            out.append([{"block": k, "hashes": h} for k, h in blocks_of(shingles(text), np.array(at, np.int64))])
+        return pa.array(out, kind)
+
+    return cut
+
+
+class Stretches:
+    """Blocks of one text side by side, those that aren't neighbours with a space between them."""
+
+    def __init__(self, numbers: np.ndarray, hashes: list[bytes], apart: int):
+        space = np.full(2 * GAP + SHINGLE, apart, np.int64)
+        numbers, kept = np.unique(numbers, return_index=True)
+        cuts = [0, *(np.flatnonzero(np.diff(numbers) > 1) + 1).tolist(), len(numbers)]
+        parts, self.first, self.shift, size = [space], [], [], len(space)
+        for a, b in zip(cuts, cuts[1:]):
+            values = np.frombuffer(b"".join(hashes[k] for k in kept[a:b].tolist()), "<u4").astype(np.int64)
+            self.first.append(size)
+            self.shift.append(BLOCK * int(numbers[a]) - size)
+            parts += [values, space]
+            size += len(values) + len(space)
+        self.values = np.concatenate(parts)
+
+    def place(self, at: np.ndarray) -> np.ndarray:
+        """Where places of the text lie here."""
+        starts = np.array(self.first) + np.array(self.shift)
+        return at - np.array(self.shift)[np.searchsorted(starts, at, "right") - 1]
+
+    def of(self, place: int) -> int:
+        """The place of the text, of one here."""
+        return place + self.shift[bisect_right(self.first, place) - 1]
+
+
+def verified(own: Stretches, source: Stretches, group: np.ndarray, real: np.ndarray, other_real: np.ndarray) -> tuple[list[tuple], list[tuple[int, int]]]:
+    """Passages (as ``passages``, in places of the texts), and (group, place) of the windows that lie in none."""
+    at, other = own.place(real), source.place(other_real)
+    found = passages(own.values, source.values, at, other)
+    alone = np.ones(len(at), bool)
+    for s in found:
+        alone &= (at < s[0]) | (at >= s[1])
+    again = set()
+    for n in np.flatnonzero(alone).tolist():
+        again |= {(g, int(real[n])) for g in partings(own.values, source.values, int(at[n]), int(other[n]), int(group[n]))}
+    spans = [(own.of(f), own.of(e - 1) + 1, source.of(g), source.of(h - 1) + 1, s) for f, e, g, h, s in found]
+    return spans, sorted(again)
+
+
 def _verifier():
-    def lists(kind: pa.ListType, cuts: list[int], columns: list[list]) -> pa.Array:
-        fields = [kind.value_type.field(k) for k in range(len(columns))]
-        flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], names=[f.name for f in fields])
-        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)
+    def lists(kind: pa.ListType, rows: list[list[tuple]]) -> pa.Array:
+        kinds = list(kind.value_type)
+        flat = pa.StructArray.from_arrays([pa.array([x[k] for r in rows for x in r], f.type) for k, f in enumerate(kinds)], fields=kinds)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), flat)
+
+    def cuts(column: pa.Array) -> list[int]:
+        return (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()
 
     @F.arrow_udf(f"struct<spans:{SPANS},again:array<struct<group:long,at:int>>>")
-    def verify(texts: pa.Array, sources: pa.Array, source_ids: pa.Array, places: pa.Array) -> pa.Array:
-        shingles, last = Shingler(), (None, None)
-        spans: list[tuple] = []
-        again: list[tuple] = []
-        cuts: list[list[int]] = [[0], [0]]
-        fields = places.flatten().flatten()  # group, at, source_at of all rows
-        starts = places.offsets.to_numpy() - places.offsets[0].as_py()
-        group, at, other = (f.to_numpy() for f in fields)
-        for k, (text, source, source_id) in enumerate(zip(texts, sources, source_ids.to_pylist())):
-            if last[0] != (source_id, source.as_py()):
-                last = ((source_id, source.as_py()), shingles(source.as_py()))
-            own, part = shingles(text.as_py()), slice(starts[k], starts[k + 1])
-            inside = (at[part] < len(own)) & (other[part] < len(last[1]))  # an id may have several texts
-            found = passages(own, last[1], at[part][inside], other[part][inside])
-            spans += found
-            for g, i, j in zip(group[part][inside].tolist(), at[part][inside].tolist(), other[part][inside].tolist()):
-                if not any(s[0] <= i < s[1] for s in found):
-                    again += [(x, i) for x in partings(own, last[1], i, j, g)]
-            cuts[0].append(len(spans))
-            cuts[1].append(len(again))
-        both = [lists(_SPANS, cuts[0], [[s[k] for s in spans] for k in range(5)]), lists(_AGAIN, cuts[1], [[g[k] for g in again] for k in range(2)])]
-        return pa.StructArray.from_arrays(both, names=["spans", "again"])
+    def verify(places: pa.Array, blocks: pa.Array) -> pa.Array:
+        group, at, source_at = (f.to_numpy() for f in places.flatten().flatten())
+        side, number, hashes = blocks.flatten().flatten()
+        side, number, hashes = side.to_numpy(), number.to_numpy(), hashes.to_pylist()
+        p, b = cuts(places), cuts(blocks)
+        spans, again = [], []
+        for k in range(len(places)):
+            here, own = slice(p[k], p[k + 1]), np.arange(b[k], b[k + 1])
+            both = [Stretches(number[own[side[own] == n]], [hashes[x] for x in own[side[own] == n].tolist()], int(_APART[n])) for n in (0, 1)]
+            found, left = verified(*both, group[here], at[here].astype(np.int64), source_at[here].astype(np.int64))
+            spans.append(found)
+            again.append(left)
+        return pa.StructArray.from_arrays([lists(_SPANS, spans), lists(_AGAIN, again)], names=["spans", "again"])
 
     return verify
 
 
-def copies(named: DataFrame) -> DataFrame:
-    """(doc_id, words, first_id) of documents whose text an earlier one has too."""
-    text = F.coalesce("text", F.lit(""))
-    prints = named.select("doc_id", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")).alias("p"))
-    one = prints.groupBy("doc_id").agg(F.min("p").alias("p"), F.max("p").alias("q")).where("p = q").select("doc_id", "p")
-    one = written(one.where(F.col("p.words") >= LEAST + SHINGLE - 1), "prints")
+def copies(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, first_id) of documents whose text an earlier one has too, and (doc_id, text_hash) of ids with several texts: the one that counts."""
+    prints = named.select("doc_id", F.struct(F.col("text_hash").alias("a"), F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)).alias("b")).alias("p"))
+    one = written(prints.groupBy("doc_id").agg(F.min("p").alias("p"), F.max("p").alias("q")).select("doc_id", "p", (F.col("p") != F.col("q")).alias("several")), "prints")
     firsts = one.groupBy("p").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("z")).where("first_id <> z").select("p", "first_id")
-    return one.join(firsts, "p").where("doc_id <> first_id").select("doc_id", F.col("p.words").alias("words"), "first_id")
+    later = one.join(firsts, "p").where("doc_id <> first_id").select("doc_id", "first_id")
+    return later, one.where("several").select("doc_id", F.col("p.a").alias("text_hash"))
 
 
 RESULT = "doc_id long, first_word int, end_word int, source_id long, source_first_word int, source_end_word int, similarity double"
@@ -320,23 +459,25 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     a row for each stretch of a document like one of its source, and one for each such stretch of
     the source itself (``source_id`` = ``doc_id``), which is the first document that has it.
     """
-    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    later = written(copies(named), "copies")
-    found = written(named.mapInArrow(_windows, WINDOW).join(later.select("doc_id"), "doc_id", "left_anti"), "windows")
-    shared = found.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("key")
-    sides = F.array("before", "after")
-    members = (
-        found.join(shared, "key")
-        .select("key", "doc_id", "at", F.explode(sides).alias("side"))
-        .where("side is not null")
-        .select(F.xxhash64("key", "side").alias("group"), "doc_id", "at")
-    )
-    results = [later.select("doc_id", F.lit(0).alias("first_word"), F.col("words").cast("int").alias("end_word"), F.col("first_id").alias("source_id"), F.lit(0).alias("source_first_word"), F.col("words").cast("int").alias("source_end_word"), F.lit(1.0).alias("similarity"))]
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    later, several = copies(named)
+    later, several = written(later, "copies"), written(several, "several")
+    out = later.select(F.col("doc_id").alias("out_id"), F.lit(None).cast("long").alias("only")).union(several)
+    other = (F.col("doc_id") == F.col("out_id")) & ~F.col("text_hash").eqNullSafe(F.col("only"))
+    packed = written(named.mapInArrow(_windows, WINDOWS).join(out, other, "left_anti"), "windows")
+    found = packed.select("doc_id", F.inline(F.arrays_zip("key", "place")))
+    shared = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    kept = found.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("key", "place")).alias("windows"))
+    members = written(kept.select("doc_id", F.inline(_grouped()("windows"))).select("group", "doc_id", "at"), "members")
+    whole = written(later.join(packed.select(F.col("doc_id").alias("first_id"), "words").distinct(), "first_id"), "whole")
+    discard(packed)
+    zero = F.lit(0)
+    results = [whole.select("doc_id", zero.alias("first_word"), F.col("words").alias("end_word"), F.col("first_id").alias("source_id"), zero.alias("source_first_word"), F.col("words").alias("source_end_word"), F.lit(1.0).alias("similarity"))]
     last = SHINGLE - 1
-    texts = None
+    blocks = None
     verify = _verifier()
+    around = lambda at: F.array(*((F.col(at) + step * MARGIN).alias("x") for step in (-1, 0, 1)))
     while True:
-        members = written(members, "members")
         sources = members.groupBy("group").agg(F.min(F.struct("doc_id", "at")).alias("source"), F.max("doc_id").alias("z")).where("source.doc_id <> z").select("group", "source")
         linked = (
             members.join(sources, "group")
@@ -345,14 +486,22 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             .agg(F.collect_set(F.struct("group", "at", F.col("source.at").alias("source_at"))).alias("places"))
         )
         linked = written(linked, "links")
+        discard(members)
         if linked.isEmpty():
             break
-        if texts is None:  # later rounds read but these documents
-            ids = linked.select("doc_id").union(linked.select(F.col("source_id").alias("doc_id"))).distinct()
-            texts = written(named.join(ids, "doc_id", "left_semi"), "texts")
-        # The source's text comes last: it isn't shuffled again, however many documents it is compared with.
-        both = linked.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("source_id"), F.col("text").alias("source")), "source_id")
-        checked = written(both.select("doc_id", "source_id", verify("text", "source", "source_id", "places").alias("v")).select("doc_id", "source_id", "v.*"), "passages")
+        each = linked.select("doc_id", "source_id", F.explode("places").alias("p"))
+        if blocks is None:  # later rounds read but these
+            ends = each.select("doc_id", "p.at").union(each.select("source_id", "p.source_at")).groupBy("doc_id").agg(F.collect_set("at").alias("at"))
+            ends = written(ends.join(several.withColumnRenamed("text_hash", "only"), "doc_id", "left"), "ends")
+            texts = with_ids(named, ends).join(ends, "doc_id").where("only is null or text_hash = only")
+            blocks = written(texts.select("doc_id", F.inline(_cut_blocks()("text", "at"))).dropDuplicates(["doc_id", "block"]), "blocks")
+        sides = F.array(F.struct(F.lit(0).alias("side"), F.col("doc_id").alias("owner"), around("p.at").alias("x")), F.struct(F.lit(1).alias("side"), F.col("source_id").alias("owner"), around("p.source_at").alias("x")))
+        needed = each.select("doc_id", "source_id", F.inline(sides)).select("doc_id", "source_id", "side", "owner", F.explode("x").alias("x"))
+        needed = needed.select("doc_id", "source_id", "side", "owner", F.floor(F.col("x") / BLOCK).cast("int").alias("block")).distinct()
+        got = needed.join(blocks.withColumnRenamed("doc_id", "owner"), ["owner", "block"]).groupBy("doc_id", "source_id").agg(F.collect_list(F.struct("side", "block", "hashes")).alias("blocks"))
+        both = linked.join(got, ["doc_id", "source_id"])
+        checked = written(both.select("doc_id", "source_id", verify("places", "blocks").alias("v")).select("doc_id", "source_id", "v.*"), "passages")
+        discard(linked)
         spans = checked.select("doc_id", "source_id", F.explode("spans").alias("p"))
         results.append(
             spans.select(
@@ -366,6 +515,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         members = again.join(alone, "group").select("group", "doc_id", "at")
         covered = spans.select("doc_id", "p.first", "p.end").groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
         members = members.join(covered, "doc_id", "left").where(~F.coalesce(F.exists("spans", lambda s: (s["first"] <= F.col("at")) & (F.col("at") < s["end"])), F.lit(False))).select("group", "doc_id", "at")
+        members = written(members, "members")
     rows = results[0]
     for more in results[1:]:
         rows = rows.union(more)

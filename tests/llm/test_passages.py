@@ -38,6 +38,46 @@ def test_sliding_minima_are_the_trees_nodes():
     assert set(sub.compact_windows(values, owner, 7).tolist()) == want
 
 
+def test_extents_and_agreements_are_the_trees():
+    """A window holds what lies below its node; two windows agree that share enough and hold each other's places."""
+    rng = random.Random(4)
+    sizes, least = [5, 60, 200, 7], 7
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    found = []
+    for _ in range(2):
+        values = np.array([rng.getrandbits(60) * 8 + 7 for _ in range(sum(sizes))], np.uint64)
+        places = sub.compact_windows(values, owner, least)
+        left, right = sub.extents(values, owner, places)
+        for at, a, b in zip(places.tolist(), left.tolist(), right.tolist()):
+            low, high = starts[owner[at]], starts[owner[at]] + sizes[owner[at]] - 1
+            span = values[at - a : at + b + 1]
+            assert values[at] == span.min() and low <= at - a and at + b <= high
+            assert at - a == low or values[at - a - 1] < values[at]
+            assert at + b == high or values[at + b + 1] < values[at]
+        found.append((values[places], places, left, right))
+    keys = [(f[0] ^ np.uint64(k)).view(np.int64) for k, f in enumerate(found)]
+    mine = owner[np.concatenate([f[1] for f in found])] == 2
+    columns = [np.concatenate(c)[mine] for c in (keys, *([f[k] for f in found] for k in (1, 2, 3)))]
+    got = sorted(zip(*(x.tolist() for x in sub.agreements(*columns, least))))
+    rows = list(zip(*(c.tolist() for c in columns)))
+    pairs = [
+        (x, y)
+        for x in rows
+        for y in rows
+        if x[0] & 7 == 7 and y[0] & 7 == 6 and x[1] - x[2] <= y[1] <= x[1] + x[3] and y[1] - y[2] <= x[1] <= y[1] + y[3] and min(x[1] + x[3], y[1] + y[3]) - max(x[1] - x[2], y[1] - y[2]) + 1 >= least
+    ]
+    assert len(pairs) > 10
+    turned = [(y, x) for x, y in pairs]  # the function with the lesser last bits comes first
+    assert [at for _, at in got] and sorted(at for _, at in got) == sorted(x[1] for x, _ in turned)
+
+
+def test_equal_least_values_part_windows():
+    values = np.array([9, 5, 9, 9, 5, 9, 1, 9], np.uint64)
+    left, right = sub.extents(values, np.zeros(8, np.int64), np.array([1, 4, 6]))
+    assert left.tolist() == [1, 2, 6] and right.tolist() == [2, 1, 1]
+
+
 def test_repeats_of_one_value_are_thinned():
     values = np.full(1000, 5, np.uint64)
     places = sub.compact_windows(values, np.zeros(1000, np.int64), 50)
@@ -138,6 +178,41 @@ def test_planted_passages_with_an_inserted_or_deleted_word(spark):
     assert whole >= 0.98 * len(where), whole
 
 
+def test_an_earlier_document_with_the_unchanged_part(spark):
+    """The first document shares only half of a passage that two later ones share, one of them with a changed word in the other half."""
+    rows, where = [], {}
+    for k in range(100):
+        text, size = passage(7000 + k, 64), (30, 40)[k % 2]
+        changed = text[:]
+        changed[size + 8] = "changed"
+        own = [passage(9000 + 3 * k + i, 80) for i in range(3)]
+        for i, middle in enumerate((text[:size], text, changed)):
+            rows.append((3 * k + i, " ".join(own[i][:30] + middle + own[i][30:])))
+        where[3 * k + 1] = where[3 * k + 2] = (30, 94)
+    got = covered(sub.repeated_passages(frame(spark, rows)).collect())
+    whole = sum(set(range(*where[i])) <= got[i] for i in where)
+    assert whole >= 0.9 * len(where), whole
+    assert not any(got[3 * k] for k in range(100))
+
+
+def test_many_links_within_repeated_text():
+    """A passage whose halves lie far apart in a list of chains is one passage."""
+    shingles = sub.Shingler()
+    text = passage(1, 80)
+    other = text[:40] + ["changed"] + text[41:]
+    filler = ["x", "y"] * 30
+    a, b = shingles(" ".join(filler + text + filler)), shingles(" ".join(filler + other + filler))
+    found = sub.passages(a, b, np.array([62, 62, 64, 66, 10]), np.array([62, 64, 62, 62, 12]))
+    assert any(f[0] <= 60 and f[1] >= 136 for f in found)
+
+
+def test_one_id_with_several_texts_and_many_equal_rows(spark):
+    one, two = prose(11, 120), prose(12, 120)
+    rows = [(1, one)] * 300 + [(1, two)] + [(2, one), (3, two)]
+    got = covered(sub.repeated_passages(frame(spark, rows)).collect())
+    assert set(got) in ({1, 2}, {1, 3}) and all(len(v) == 120 for v in got.values())
+
+
 def test_awkward_rows(spark):
     got = covered(sub.repeated_passages(frame(spark)).collect())
     assert set(got) == {3, 7, 12, 28}
