@@ -1,9 +1,7 @@
-"""Hashed word counts and shrunken log ratios, in DataFrame functions alone.
+"""Hashed word counts and log ratios, in DataFrame functions alone.
 
 A word is a run of letters, digits or underscores, or a run of other signs, lower-cased.
-Words are hashed to buckets. A log ratio of two models' shares in a bucket is
-moved towards zero by ``SHRINK`` standard errors and by ``MARGIN``: what chance may explain counts for
-nothing, nor do the slight differences that large samples make certain, so a long text doesn't gather them. Ratios are whole numbers (millionths): sums of
+Words are hashed to buckets. Log ratios are whole numbers (millionths): sums of
 them don't depend on their order.
 """
 
@@ -14,8 +12,6 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+"
 SCALE = 1_000_000
-SHRINK = 2.0
-MARGIN = 0.6931471805599453  # log 2
 SMOOTH = 0.5
 
 
@@ -33,12 +29,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
 
 
-def log_ratio(n: Column, total: Column, base: Column, base_total: Column, buckets: int) -> Column:
-    """Shrunken log of (share of n in total) / (share of base in base_total), in millionths."""
+def log_ratio(n: Column, total: Column, base: Column, base_total: Column, buckets: int, shrink: float = 0.0, margin: float = 0.0) -> Column:
+    """Log of (share of n in total) / (share of base in base_total), in millionths.
+
+    It is moved towards zero by ``shrink`` standard errors and by ``margin``.
+    """
     a, b = n + SMOOTH, base + SMOOTH
     ratio = F.log(a / (total + SMOOTH * buckets)) - F.log(b / (base_total + SMOOTH * buckets))
-    error = SHRINK * F.sqrt(1 / a + 1 / b) + MARGIN
-    return F.round(F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - error) * SCALE).cast("long")
+    less = shrink * F.sqrt(1 / a + 1 / b) + margin
+    return F.round(F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - less) * SCALE).cast("long")
 
 
 def scores(docs: DataFrame, model: DataFrame, values: list[str], buckets: int) -> DataFrame:

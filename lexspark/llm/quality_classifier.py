@@ -2,8 +2,8 @@
 
 Two bag-of-n-gram models over hashed buckets (words and pairs of words, lower-cased) are counted in one
 pass: one over all documents (raw), one over those that the labels call good (target). A task counts into
-arrays of ``BUCKETS`` numbers and hands on a row for each bucket at most. A document's weight is the sum of its n-grams'
-log ratios (see ``ngrams``), taken from the median n-gram's. Adding Gumbel noise, hashed from the id, and taking the k
+arrays of ``BUCKETS`` numbers and hands on a row for each bucket at most. A document's weight is the log of the ratio of
+its likelihoods under both models: the sum over its n-grams of log(p_target / p_raw), with half a count added to each bucket. Adding Gumbel noise, hashed from the id, and taking the k
 greatest draws k documents without replacement in proportion to their weights. k is the
 share of labelled documents that are target-like, of all documents.
 
@@ -91,12 +91,10 @@ def model(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, buckets
     share = rows.agg(F.avg("good")).first()[0]
     both = written(counted(rows, buckets), "ngrams")
     raw, target = (x or 0 for x in both.agg(F.sum("raw"), F.sum("target")).first())
-    # The median n-gram is to weigh nothing: else every ordinary word of a long text counts for
-    # it, as the raw table's junk takes a part of its n-grams, and length would drown what is unusual.
-    middle = both.agg(F.expr("percentile((target + 0.5) / (raw + 0.5), 0.5, raw)")).first()[0]
-    base = float(target) / middle if middle else float(raw)
-    weight = log_ratio(F.col("target"), F.lit(float(target)), F.col("raw"), F.lit(base), buckets)
     weights = np.zeros(buckets, np.int64)
+    if not target:  # nothing is known of the target
+        return weights, share
+    weight = log_ratio(F.col("target"), F.lit(float(target)), F.col("raw"), F.lit(float(raw)), buckets)
     for r in both.select("bucket", weight.alias("weight")).where("weight <> 0").collect():  # ``buckets`` rows at most
         weights[r["bucket"]] = r["weight"]
     return weights, share

@@ -89,6 +89,28 @@ def test_classifier_counts_every_gram(spark, docs):
     assert got == {b: (n, target[b]) for b, n in raw.items()}
 
 
+def test_classifier_weights_are_log_ratios(spark, small, labels):
+    """Every document's weight, and the draw, by brute force."""
+    rows = [tuple(r) for r in table(spark, small, "documents").select("doc_id", "text").collect()]
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and r.toxic == 0}
+    size = quality_classifier.BUCKETS
+    grams = quality_classifier.Grams(size)
+    raw, target = np.zeros(size), np.zeros(size)
+    for doc_id, text in rows:
+        np.add.at(raw, grams(text), 1)
+        if doc_id in good:
+            np.add.at(target, grams(text), 1)
+    ratio = np.log((target + 0.5) / (target.sum() + 0.5 * size)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * size))
+    want = {i: ratio[grams(t)].sum() for i, t in rows}
+    got = quality_classifier.resampled(table(spark, small, "documents"), labels).collect()
+    assert all(abs(r.log_weight - want[r.doc_id]) <= 1e-6 * (r.n_grams + 1) for r in got)
+    noise = np.array([r.gumbel_key - r.log_weight for r in got])
+    assert abs(noise.mean() - 0.577) < 0.4 and 0.8 < noise.std() < 1.8
+    order = sorted(got, key=lambda r: (-r.gumbel_key, r.doc_id))
+    n = sum(r.kept for r in got)
+    assert all(r.kept for r in order[:n])
+
+
 def test_classifier_draws_the_share(spark, small, labels, docs):
     all_docs = table(spark, small, "documents")
     got = quality_classifier.resampled(all_docs, labels).collect()
@@ -134,7 +156,7 @@ def test_mixing_rates(spark, small, labels, docs):
     all_docs = table(spark, small, "documents")
     got = mixing.mix(all_docs, labels).collect()
     assert len(got) == all_docs.count()
-    assert all(0 <= r.rate <= mixing.MOST_RATE and r.copies in (0, 1) for r in got)
+    assert all(r.rate >= 0 and r.copies in (int(r.rate), int(r.rate) + 1) for r in got)
     assert all(abs(r.p_good + r.p_low + r.p_toxic - 1) < 0.02 for r in got)
     rates = np.array([[r.p_good, r.p_low, r.p_toxic] for r in got])
     expected = (rates * np.array([[r.tokens * r.rate] for r in got])).sum(0)
@@ -146,6 +168,46 @@ def test_mixing_rates(spark, small, labels, docs):
     assert mixing.mix(empty(spark), labels).count() == 0
 
 
+def least_squares(p, tokens, wanted, steps=20_000):
+    """Nonnegative rates from one on, by accelerated projected gradients."""
+    scale, at = tokens.sum(), p * tokens[:, None]
+    step = 1 / np.linalg.eigvalsh(at.T @ p / scale).max()
+    r = y = np.ones(len(p))
+    t = 1.0
+    for _ in range(steps):
+        new, faster = np.maximum(0, y - step * (p @ ((at.T @ y - wanted) / scale))), (1 + np.sqrt(1 + 4 * t * t)) / 2
+        r, y, t = new, new + (t - 1) / faster * (new - r), faster
+    return at.T @ r
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_mixing_meets_its_targets(spark, sf):
+    """The expected totals are those of a brute-force least squares, and within 0.01 of the targets."""
+    rows = mixing.mix(*(table(spark, f"/root/testdata/{sf}", t) for t in ("documents", "labels"))).select("p_good", "p_low", "p_toxic", "tokens", "rate", "copies", "residual").toPandas()
+    p, tokens = rows[["p_good", "p_low", "p_toxic"]].to_numpy(), rows["tokens"].to_numpy(float)
+    targets = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS])
+    wanted = (p[:, 0] * tokens).sum() / targets[0] * targets
+    got, best = (p * (tokens * rows["rate"].to_numpy())[:, None]).sum(0), least_squares(p, tokens, wanted)
+    assert np.abs(got / got.sum() - targets).max() < 0.01
+    assert np.abs(got - wanted).max() / tokens.sum() <= np.abs(best - wanted).max() / tokens.sum() + 2e-4
+    assert abs(rows["residual"][0] - np.abs(got - wanted).max() / tokens.sum()) < 1e-4
+    assert abs(rows["copies"].mean() - rows["rate"].mean()) < 0.05
+
+
+def test_mixing_fit_where_targets_cant_be_met(spark):
+    """All documents alike: nothing can part the domains, and what is left is said."""
+    cells = spark.createDataFrame([([80, 10, 10], 1000), ([80, 10, 10], 500)], "p array<int>, tokens long")
+    rates, residual = mixing.fitted(cells, mixing.TARGETS)
+    want = least_squares(np.array([[0.8, 0.1, 0.1]] * 2), np.array([1000.0, 500.0]), 1200 / 0.9 * np.array([0.9, 0.05, 0.05]), 2000)
+    wanted = 1200 / 0.9 * np.array([0.9, 0.05, 0.05])
+    assert abs(residual - np.abs(want - wanted).max() / 1500) < 1e-3 and len({r.rate for r in rates.collect()}) == 1
+
+
+def test_mixing_solves_small_systems():
+    a, b = np.array([[2.0, 0.5, 0.1], [0.5, 1.0, 0.2], [0.1, 0.2, 3.0]]), np.array([1.0, -2.0, 0.5])
+    assert np.allclose(mixing.solved(a.tolist(), b.tolist()), np.linalg.solve(a, b))
+
+
 def test_mixing_on_held_out_labels(spark):
     all_docs = table(spark, "/root/testdata/sf0.1", "documents")
     known = table(spark, "/root/testdata/sf0.1", "labels").where("toxic = 0")
