@@ -3,11 +3,15 @@
 Besides what ``simhash`` links, documents whose sets of five-word shingles have Jaccard similarity
 ``SIMILARITY`` or more are linked. Candidates share one of ``BANDS`` bands of ``ROWS`` least hashes
 each, which a pair at similarity 0.8 misses with probability 0.0004. Each band's first document (by
-id) is compared with the other members on their whole sets; members that it isn't like are compared with the
+text hash) is compared with the other members on their whole sets; members that it isn't like are compared with the
 next two of them, then four, and so on until none is left, so many like documents give a pair each.
 
 A document that is like one linked already, but not like that one's source, has the other bands to meet it.
-Texts of under five words have no shingles and are left to ``simhash``.
+Texts are told apart by their hash, so several texts of one id are several documents.
+
+Defined cases: texts of under five words have no shingles and are left to ``simhash``, null and empty ones
+(fingerprint zero) among them. Rows without an id stay. Of repeated rows one stays; ties go to the least id, then text hash.
+An empty table gives no rows; extra columns are passed on.
 """
 
 from __future__ import annotations
@@ -22,12 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .graph import connected_components
-from .simhash import near_duplicates
+from .simhash import first_of_each, rooted
 from .substring_dedup import _ODD, Shingler, mixed
 
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
-SIGNATURE = "doc_id long, n long, whole long, bands array<long>"
+SIGNATURE = "text_hash long, n long, whole long, bands array<long>"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,13 +39,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     odd = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _ODD[3]) | np.uint64(1)
     for batch in batches:
         out: list[tuple] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             s = np.unique(shingles(text.as_py()))
             if not len(s):
                 continue
             least = np.array([(s * k).min() for k in odd]).reshape(BANDS, ROWS)
             bands = mixed((mixed(least) * _ODD[:ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _ODD[6])
-            out.append((doc_id, len(s), xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), bands.view(np.int64).tolist()))
+            out.append((text_hash, len(s), xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), bands.view(np.int64).tolist()))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         names = [c.split()[0] for c in SIGNATURE.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
@@ -65,45 +69,43 @@ def similar(text, source):
 
 
 def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(u, v) of ids of similar documents; pairs within one of ``groups`` (doc_id, component_id) are left out."""
-    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(u, v) of text hashes of similar documents; pairs within one of ``groups`` (text_hash, root) are left out."""
+    named = docs.where("doc_id is not null").select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     signed = written(named.mapInArrow(_signatures, SIGNATURE), "signatures")
-    firsts = signed.groupBy("whole").agg(F.min("doc_id").alias("first_id"))
-    found = signed.join(firsts, "whole").where("doc_id <> first_id").select(F.col("doc_id").alias("u"), F.col("first_id").alias("v"))
-    only = signed.join(firsts, "whole").where("doc_id = first_id").join(groups.groupBy("doc_id").agg(F.min("component_id").alias("component")), "doc_id")
-    members = written(only.select("doc_id", "n", "component", F.explode("bands").alias("group")), "bands")
-    shared = members.groupBy("group").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("group")
+    firsts = signed.groupBy("whole").agg(F.min("text_hash").alias("first"))
+    found = signed.join(firsts, "whole").where("text_hash <> first").select(F.col("text_hash").alias("u"), F.col("first").alias("v"))
+    only = signed.join(firsts, "whole").where("text_hash = first").dropDuplicates(["text_hash"]).join(groups, "text_hash")
+    members = written(only.select("text_hash", "n", "root", F.explode("bands").alias("group")), "bands")
+    shared = members.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("group")
     members, most, texts = members.join(shared, "group"), 1, None
     while True:
         members = written(members, "members")
-        ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy("doc_id"))).where(F.col("rank") <= most)
-        sources = ranked.select("group", *(F.col(c).alias(f"source_{c}") for c in ("doc_id", "n", "component")))
-        pairs = written(members.join(sources, "group").where("doc_id > source_doc_id").withColumnRenamed("source_doc_id", "source_id"), "pairs")
+        ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy("text_hash"))).where(F.col("rank") <= most)
+        sources = ranked.select("group", *(F.col(c).alias(f"source_{c}") for c in ("text_hash", "n", "root")))
+        pairs = written(members.join(sources, "group").where("text_hash > source_text_hash").withColumnRenamed("source_text_hash", "source_hash"), "pairs")
         if pairs.isEmpty():
             return found
         near = F.least("n", "source_n") >= SIMILARITY * F.greatest("n", "source_n")
-        asked = written(pairs.where((F.col("component") != F.col("source_component")) & near).select("doc_id", "source_id").distinct(), "asked")
+        asked = written(pairs.where((F.col("root") != F.col("source_root")) & near).select("text_hash", "source_hash").distinct(), "asked")
         if texts is None:  # later rounds ask for other documents of these groups
-            texts = written(named.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
-        both = asked.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("source_id"), F.col("text").alias("source")), "source_id")
-        alike = written(both.select("doc_id", "source_id", similar(F.col("text"), F.col("source")).alias("ok")).where("ok").distinct(), "alike")
-        found = found.union(alike.select("doc_id", "source_id"))
+            texts = written(named.join(members.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"]), "texts")
+        both = asked.join(texts, "text_hash").join(texts.select(F.col("text_hash").alias("source_hash"), F.col("text").alias("source")), "source_hash")
+        alike = written(both.select("text_hash", "source_hash", similar(F.col("text"), F.col("source")).alias("ok")).where("ok").distinct(), "alike")
+        found = found.union(alike.select("text_hash", "source_hash"))
         # Those alike to none of their group's sources meet again, without the sources.
-        linked = pairs.join(alike, ["doc_id", "source_id"], "left").groupBy("group", "doc_id", "n", "component")
-        left = linked.agg(F.max(F.coalesce("ok", F.lit(False)) | (F.col("component") == F.col("source_component"))).alias("ok"))
-        was = sources.select("group", F.col("source_doc_id").alias("doc_id"))
-        members = left.where("not ok").drop("ok").join(was, ["group", "doc_id"], "left_anti")
+        linked = pairs.join(alike, ["text_hash", "source_hash"], "left").groupBy("group", "text_hash", "n", "root")
+        left = linked.agg(F.max(F.coalesce("ok", F.lit(False)) | (F.col("root") == F.col("source_root"))).alias("ok"))
+        was = sources.select("group", F.col("source_text_hash").alias("text_hash"))
+        members = left.where("not ok").drop("ok").join(was, ["group", "text_hash"], "left_anti")
         most *= 2
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without near copies: the row with the least id of each group stays."""
-    groups = written(near_duplicates(docs).where("doc_id is not null").select("doc_id", "component_id").distinct(), "groups")
-    of = groups.groupBy("doc_id").agg(F.min("component_id").alias("c"))
-    pairs = links(docs, groups)
-    edges = pairs.join(of.withColumnRenamed("doc_id", "u"), "u").withColumnRenamed("c", "cu").join(of.withColumnRenamed("doc_id", "v"), "v")
-    reached = connected_components(edges.select(F.col("cu").alias("u"), F.col("c").alias("v")))
-    gone = groups.join(reached, groups["component_id"] == reached["node"], "left").where(F.col("doc_id") != F.coalesce("component", "component_id")).select("doc_id").distinct()
-    ids = docs.where("doc_id is not null")
-    kept = ids.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    """``docs`` without near copies: the first row (by id, then text hash) of each group stays."""
+    rows = written(rooted(docs), "groups")
+    of = written(rows.where("doc_id is not null").select("text_hash", "root").distinct(), "roots")  # a text has one fingerprint
+    pairs = links(docs, of)
+    edges = pairs.join(of.select(F.col("text_hash").alias("u"), F.col("root").alias("a")), "u").join(of.select(F.col("text_hash").alias("v"), F.col("root").alias("b")), "v")
+    reached = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    whole = rows.join(reached, rows["root"] == reached["node"], "left").select("doc_id", "text_hash", F.coalesce("component", "root").alias("root"))
+    return first_of_each(docs, whole)

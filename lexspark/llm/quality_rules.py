@@ -3,7 +3,8 @@
 A document goes if a base rule fails (too few words, too much text in repeated three-word
 windows), or if its zstandard ratio leaves the band for its length: above it the text is
 repetitive, below it incompressible (random or encoded data). The same test runs over fixed
-chunks, so that a bad stretch inside a long, otherwise ordinary text shows.
+chunks, so that a bad stretch inside a long, otherwise ordinary text shows. The last chunk ends where the text does,
+and overlaps the one before it; a text of one chunk or less is its whole.
 
 Defined cases: a null text has no words and fails the base rule; so does an empty one.
 Repeated rows and ties get equal verdicts, each row on its own. Every figure covers the
@@ -45,7 +46,7 @@ class Bands:
     )
     chunk_bytes: int = 2048
     chunk: tuple[float, float] = (1.30, 2.8)
-    #: The share of full chunks that may lie outside the chunk band.
+    #: The share of chunks that may lie outside the chunk band.
     chunk_share: float = 0.25
     level: int = 3
     min_words: int = 50
@@ -84,13 +85,14 @@ def in_bands(raw: bytes, bands: Bands, packer: zstandard.ZstdCompressor) -> tupl
         return 1.0, 0.0, True
     ratio = len(raw) / len(packer.compress(raw))
     low, high = next((a, b) for below, a, b in bands.whole if len(raw) < below)
-    size, bad, full = bands.chunk_bytes, 0, len(raw) // bands.chunk_bytes
-    if full > 1:  # else the whole says as much
+    size, bad, starts = bands.chunk_bytes, 0, []
+    if len(raw) > size:  # else the whole says as much
+        starts = [*range(0, len(raw) - size, size), len(raw) - size]
         view = memoryview(raw)
-        for k in range(full):
-            r = size / len(packer.compress(view[k * size : (k + 1) * size]))
+        for at in starts:
+            r = size / len(packer.compress(view[at : at + size]))
             bad += not bands.chunk[0] <= r <= bands.chunk[1]
-    share = bad / full if full else 0.0
+    share = bad / len(starts) if starts else 0.0
     return ratio, share, low <= ratio <= high and share <= bands.chunk_share
 
 

@@ -16,7 +16,8 @@ query: links stay linear in the bucket, and they join what all pairs would join.
 Defined cases: a null or empty text, or one without words, has fingerprint zero, linked like
 any other; under three words the whole sequence is the one shingle. Rows without an id are
 linked to nothing (component null) and a stage keeps them. Repeated rows share a group,
-of which one row stays. Whole texts count.
+of which one row stays. Of different texts with one id each has its own group in a stage; in
+``component_id``, which names groups by ids, both show the least id of their groups. Whole texts count.
 """
 
 from __future__ import annotations
@@ -182,25 +183,35 @@ def links(distinct: DataFrame, count: int, shard: int = SHARD) -> DataFrame:
     return sorted_rows.mapInArrow(_tree_links, "u long, v long")
 
 
+def rooted(docs: DataFrame, size: int = 3, shard: int = SHARD) -> DataFrame:
+    """(doc_id, text_hash, fp, root) for each row of ``docs``: root is the least fingerprint that links reach, null without an id."""
+    prints = written(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), fingerprint(F.col("text"), size).alias("fp")), "simhash")
+    distinct = written(prints.where("doc_id is not null").select("fp").distinct(), "classes")
+    reached = connected_components(links(distinct, distinct.count(), shard))
+    roots = distinct.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
+    found = prints.join(roots, "fp", "left")
+    return found.select("doc_id", "text_hash", "fp", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("root"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, shard: int = SHARD) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``."""
-    prints = written(docs.select("doc_id", fingerprint(F.col("text"), size).alias("fp")), "simhash")
-    classes = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    reached = connected_components(links(classes.select("fp"), classes.count(), shard))
-    named = classes.join(reached.withColumnRenamed("node", "fp"), "fp")
-    labels = named.groupBy("component").agg(F.min("first_id").alias("linked_id"))
-    linked = named.join(labels, "component").select("fp", "linked_id")
-    groups = classes.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id"))
-    return prints.join(groups, "fp", "left").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
-    )
+    found = written(rooted(docs, size, shard), "rooted")
+    firsts = found.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(firsts, "root", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that are the first, by id and text hash, of their group; rows without an id stay.
+
+    ``groups``: (doc_id, text_hash, root). One id may have several texts, each with a group of its own.
+    """
+    firsts = groups.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("w")).select(F.col("w.doc_id").alias("w_id"), F.col("w.text_hash").alias("w_hash"))
+    row = docs.select(F.struct("*").alias("row"))
+    text_hash = F.xxhash64(F.coalesce("row.text", F.lit("")))
+    chosen = row.join(firsts, (F.col("row.doc_id") == F.col("w_id")) & (text_hash == F.col("w_hash")))
+    return chosen.dropDuplicates(["w_id", "w_hash"]).select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``docs`` without near-duplicates: the row with the least id of each group stays."""
-    gone = near_duplicates(docs, size).where("doc_id <> component_id").select("doc_id").distinct()
-    ids = docs.where("doc_id is not null")
-    kept = ids.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    """``docs`` without near-duplicates: the first row of each group stays."""
+    return first_of_each(docs, rooted(docs, size))

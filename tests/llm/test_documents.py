@@ -8,8 +8,10 @@ from collections import Counter
 
 import pytest
 import xxhash
+import zstandard
+from pyspark.sql import functions as F
 
-from lexspark.llm import fingerprints, packing, quality_rules, secrets, simhash
+from lexspark.llm import fingerprints, near_copies, packing, quality_rules, secrets, simhash
 from lexspark.llm.common import table
 
 from .fixtures import SCHEMA, frame, prose, texts
@@ -62,6 +64,44 @@ def test_bands_reject_noise_and_repeats():
     assert quality_rules.figures(prose(1, 600), bands, z)[6]
 
 
+def within_bands(text):
+    """The verdict on compression, chunk by chunk."""
+    raw, bands = (text or "").encode(), quality_rules.Bands()
+    if not raw:
+        return True
+    ratio = lambda x: len(x) / len(zstandard.ZstdCompressor(level=bands.level).compress(x))
+    low, high = next((a, b) for below, a, b in bands.whole if len(raw) < below)
+    chunks = [raw[k : k + bands.chunk_bytes] for k in range(0, len(raw), bands.chunk_bytes)]
+    chunks[-1] = raw[-bands.chunk_bytes :]
+    bad = [not bands.chunk[0] <= ratio(c) <= bands.chunk[1] for c in chunks]
+    return low <= ratio(raw) <= high and (len(chunks) == 1 or sum(bad) <= bands.chunk_share * len(bad))
+
+
+def test_quality_verdicts(spark, small, docs):
+    for df in (table(spark, small, "documents"), docs):
+        texts_by_row = sorted((r.text or "" for r in df.select("text").collect()))
+        got = sorted((t.text or "", t.r.kept) for t in df.select("text", quality_rules.rules(F.col("text")).alias("r")).collect())
+        base = {r.text or "": r.r.base_failed for r in df.select("text", quality_rules.rules(F.col("text")).alias("r")).collect()}
+        assert got == [(t, not base[t] and within_bands(t)) for t in texts_by_row]
+
+
+def test_quality_bands_see_the_tail():
+    packer = zstandard.ZstdCompressor(level=3)
+    prose_text = prose(1, 400)[:2100].encode()
+    junk = bytes(33 + k * k * 7919 % 90 for k in range(1900))
+    whole, tail = prose_text[:2048] + b" " + b"ab " * 600, prose_text[:2048] + junk
+    for raw in (whole, tail):
+        assert len(raw) < 2 * 2048 and quality_rules.in_bands(raw, quality_rules.Bands(), packer)[1] == 0.5
+    assert quality_rules.in_bands(prose_text[:2048], quality_rules.Bands(), packer)[1] == 0.0
+
+
+def test_stages_keep_different_texts_of_one_id(spark):
+    one, two = prose(1, 90), prose(2, 90)
+    rows = [(1, one), (1, two), (1, one), (2, two), (2, prose(3, 90)), (None, one)]
+    for keep in (simhash.keep_one, near_copies.keep_one):
+        assert sorted((r.doc_id or 0, r.text) for r in keep(frame(spark, rows)).collect()) == sorted([(0, one), (1, one), (1, two), (2, prose(3, 90))])
+
+
 def reference_print(text):
     words = [w.encode() for w in WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
     grams = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
