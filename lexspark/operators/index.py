@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import cached_property
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,6 +102,8 @@ class IndexView:
     postings: DataFrame
     generation: int = 0
     _frequencies: dict = field(default_factory=dict, repr=False)
+    #: Terms that a lookup names in the scan's filter; more of them join.
+    MOST_LITERALS: ClassVar[int] = 1000
 
     @property
     def live(self) -> DataFrame:
@@ -144,7 +147,11 @@ class IndexView:
         new = wanted - self._frequencies.keys()
         if new:
             self._frequencies.update(dict.fromkeys(new, 0))
-            counts = self.postings.where(self.matching(new)).groupBy("field", "term").agg(F.count("*").alias("df"))
+            if len(new) <= self.MOST_LITERALS:
+                found = self.postings.where(self.matching(new))
+            else:
+                found = self.postings.join(self.postings.sparkSession.createDataFrame(sorted(new), "field string, term string"), ["field", "term"], "left_semi")
+            counts = found.groupBy("field", "term").agg(F.count("*").alias("df"))
             for r in counts.collect():  # at most a row for each term of the query
                 self._frequencies[r["field"], r["term"]] = r["df"]
         return {leaf: self._frequencies[leaf] for leaf in wanted}

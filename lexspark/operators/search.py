@@ -128,10 +128,16 @@ def explain(index: IndexView, query: str | Node | Plan, doc_id: str, options: Pl
     return spark.createDataFrame(out, EXPLANATION)
 
 
+#: Query terms that a batch broadcasts, and those that it names in the scan's filter.
+MOST_BROADCAST, MOST_LITERALS = 1_000_000, 1000
+
+
 def _or_leaves(node: Plan) -> list[TermPlan] | None:
-    """The terms of a plan of terms and ORs alone, in the order of its sum; None for others."""
+    """The terms of a plan of terms and ORs alone, in the order of its sum; None for others. A phrase of one word is a term."""
     if isinstance(node, TermPlan):
         return [node]
+    if isinstance(node, PhrasePlan) and len(node.tokens) == 1:
+        return [TermPlan(node.field, node.tokens[0][0], node.boost)]
     if not isinstance(node, OrPlan):
         return None
     out = []
@@ -146,8 +152,8 @@ def _or_leaves(node: Plan) -> list[TermPlan] | None:
 def batch_search(index: IndexView, queries: Mapping[str, str | Node | Plan], k: int | None = 10, options: PlanOptions | None = None, scoring: Bm25 | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) of many queries.
 
-    All queries of terms and ORs run as one scan: their terms join the postings (there are as many rows
-    as the queries have terms, so that side is broadcast), scores are summed by query and document in
+    All queries of terms and ORs run as one scan: their terms join the postings (that side has as many rows
+    as the queries have terms, and is broadcast up to ``MOST_BROADCAST`` of them), scores are summed by query and document in
     the plan's order, and each query's k best are ranked, first within partial groups so that a
     query's matches are never sorted whole in one task. Without k all matches come, unranked (rank null). Other queries are compiled one by one.
     """
@@ -171,7 +177,10 @@ def batch_search(index: IndexView, queries: Mapping[str, str | Node | Plan], k:
     wanted = spark.createDataFrame(rows, "query_id string, ord int, field string, term string, boost double, idf double, average double")
     tf = F.col("tf").cast("double")
     weight = tf * F.lit(scoring.k1 + 1) / (tf + F.lit(scoring.k1) * (F.lit(1 - scoring.b) + F.lit(scoring.b) * F.col("dl").cast("double") / F.col("average")))
-    scored = index.postings.where(index.matching({(r[2], r[3]) for r in rows})).join(F.broadcast(wanted), ["field", "term"]).select("query_id", "doc_id", "ord", (F.col("idf") * weight * F.col("boost")).alias("s"))
+    wanted = F.broadcast(wanted) if len(rows) <= MOST_BROADCAST else wanted
+    terms = {(r[2], r[3]) for r in rows}
+    postings = index.postings.where(index.matching(terms)) if len(terms) <= MOST_LITERALS else index.postings
+    scored = postings.join(wanted, ["field", "term"]).select("query_id", "doc_id", "ord", (F.col("idf") * weight * F.col("boost")).alias("s"))
     summed = scored.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "s"))).alias("l"))
     hits = summed.select("query_id", "doc_id", F.aggregate("l", F.lit(0.0), lambda a, x: a + x["s"]).alias("score"))
     for part in parts:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,7 +20,8 @@ from .oracle import A, M, N, O, P, R, T
 from .plans.planner import PlanOptions
 from .schema import Field, FieldType, IndexSchema
 from .sources.documents import mutations_of, synthetic
-from .sources.segments import merged
+from .sources.files import scratch
+from .sources.segments import IndexWriter, merged, open_segment, write_segment
 from .streaming.ingest import OrderedReplica
 
 STOP = ("the", "of", "a")
@@ -323,7 +325,50 @@ def batch_search_topk(spark, sf_dir):
 
 def batch_search_benchmark(spark, sf_dir):
     index = index_for(spark, sf_dir, "documents")
-    return batch_search(index, _benchmark_queries(spark, sf_dir, index), 10, options_for(["body"]))
+    return _rounded(batch_search(index, _benchmark_queries(spark, sf_dir, index), 10, options_for(["body"])))
+
+
+def stored(spark: SparkSession, sf_dir: str) -> IndexWriter:
+    """The documents' index as two stored segments of one generation: those of even ids, then those of odd ones."""
+    key = (spark.sparkContext.applicationId, sf_dir, "stored")
+    if key not in _built:
+        p = PROFILES["documents"]
+        writer = IndexWriter(spark, f"{scratch(spark)}/documents-{len(_built)}", p.schema)
+        rows = p.mutations(spark.read.parquet(f"{sf_dir}/{p.table}.parquet"))
+        for half in (0, 1):
+            writer.put(rows.where(F.pmod(F.col("doc_id").cast("bigint"), F.lit(2)) == half))
+            writer.refresh()
+        _built[key] = writer
+    return _built[key]
+
+
+def _stored_search(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rounded(search(stored(spark, sf_dir).open_search_view(), query, options=PROFILES["documents"].options).matches)
+
+    return run
+
+
+generation_term = _stored_search("body:that")
+generation_phrase = _stored_search('body:"of the"')
+generation_bool = _stored_search("body:with AND NOT lang:en")
+
+
+def compacted_segment(spark, sf_dir):
+    """One segment of both, opened by itself with its checksums compared, and searched."""
+    writer = stored(spark, sf_dir)
+    view = writer.open_search_view()
+    path = f"{scratch(spark)}/compacted-{uuid.uuid4().hex}"
+    write_segment(view, path, 1)
+    return _rounded(search(open_segment(spark, path), "body:that AND body:with AND lang:en", options=PROFILES["documents"].options).matches)
+
+
+def lookup_postings(spark, sf_dir):
+    return index_for(spark, sf_dir, "documents").lookup("body", "that").select("doc_id", "tf", "dl")
+
+
+def ranked_hits(spark, sf_dir):
+    return _rounded(search(index_for(spark, sf_dir, "documents"), "body:that OR lang:fr", 50).hits)
 
 
 def _evaluated(column: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -349,7 +394,7 @@ def synthetic_corpus(spark, sf_dir):
 
 _names = """topk_ties topk_zero_total_hits total_hits bm25_parameters_b0 analyze_tokens analyze_stopwords_positions postings_build term_stats field_stats doc_value_lookup live_documents
 index_invariants explain_terms latest_version_resolution tombstone_resolution stale_rejections schema_rejections segment_merge_equivalence shard_topk_merge shard_routing replica_routing
-ordered_apply batch_search_topk batch_search_benchmark eval_precision_recall eval_average_precision eval_reciprocal_rank eval_ndcg synthetic_corpus""".split()
+ordered_apply batch_search_topk batch_search_benchmark generation_term generation_phrase generation_bool compacted_segment lookup_postings ranked_hits eval_precision_recall eval_average_precision eval_reciprocal_rank eval_ndcg synthetic_corpus""".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{n: _search(n) for n in SEARCHES}, **{n: globals()[n] for n in _names}}
 
 _tok = PROFILES["documents"].base
@@ -409,6 +454,25 @@ select field, term, tf > 0 as matched, round(case when tf > 0 then ln(1e0 + (n_d
     "replica_routing": "select s_name as node_id from supplier where s_nationkey % 4 in (0, 1) and s_suppkey % 7 <= 5 order by s_nationkey % 4, s_suppkey % 7, s_suppkey % 5, s_name limit 1",
     "ordered_apply": "with n as (select user_id % 5 + 1 as shard, count(*) as n from events group by all) select shard, 'applied' as outcome, n from n union all select shard, 'duplicate', n // 10 from n where n >= 10",
     "batch_search_topk": _batch_sql(),
+    # Repeats of a term count again, but for those that the text begins with.
+    "batch_search_benchmark": f"""{_tok},
+asked as (select item_id::varchar as query_id, {oracle.standard("coalesce(text, '')")} as t from benchmark),
+terms as (select query_id, unnest(list_filter(t, lambda x, i: i = 1 or len(list_distinct(t[1:i])) > 1)) as term from asked),
+wanted as (select query_id, term, count(*)::double as times from terms group by all),
+tf as (select term, doc_id, count(*)::double as tf from tok where field = 'body' group by all),
+df as (select term, count(*)::double as df from tf group by term),
+s as (select w.query_id, tf.doc_id, w.times * ln(1e0 + (fs.n_docs - df.df + 0.5e0) / (df.df + 0.5e0)) * (tf.tf * 2.2e0 / (tf.tf + 1.2e0 * (0.25e0 + 0.75e0 * lens.dl::double / fs.avg_len))) as s
+  from wanted w join tf using (term) join df using (term) join lens on lens.doc_id = tf.doc_id and lens.field = 'body' join fs on fs.field = 'body'),
+hits as (select query_id, doc_id, round(sum(s), 9) as score from s group by all)
+select query_id, doc_id, score, (row_number() over (partition by query_id order by score desc, doc_id))::int as rank from hits qualify rank <= 10""",
+    "shard_routing": """select doc_id::varchar as doc_id, (list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::hugeint)),
+  lambda h, b: (xor(h, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint) % 8)::bigint as shard from documents""",
+    "generation_term": f"{_hits_sql('documents', T('body', 'that'))}\nselect doc_id, score from hits",
+    "generation_phrase": f"{_hits_sql('documents', P('body', [('of', 0), ('the', 1)]))}\nselect doc_id, score from hits",
+    "generation_bool": f"{_hits_sql('documents', A(T('body', 'with'), N(T('lang', 'en'))))}\nselect doc_id, score from hits",
+    "compacted_segment": f"{_hits_sql('documents', A(A(T('body', 'that'), T('body', 'with')), T('lang', 'en')))}\nselect doc_id, score from hits",
+    "lookup_postings": f"{_tok} select doc_id, count(*)::int as tf, max(lens.dl) as dl from tok join lens using (doc_id, field) where field = 'body' and term = 'that' group by doc_id",
+    "ranked_hits": f"{_hits_sql('documents', O(T('body', 'that'), T('lang', 'fr')))}\nselect doc_id, score, (row_number() over (order by score desc, doc_id))::int as rank from hits qualify rank <= 50",
     "eval_precision_recall": _judged.replace("{0}", "round(coalesce(hit, 0) / 10e0, 9) as precision, " + _ratio("hit", "relevant", "recall")),
     "eval_average_precision": _judged.replace("{0}", _ratio("ap", "relevant", "average_precision")),
     "eval_reciprocal_rank": _judged.replace("{0}", "round(coalesce(1e0 / first, 0e0), 9) as reciprocal_rank"),

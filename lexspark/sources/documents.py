@@ -23,11 +23,14 @@ class DocumentFileError(ValueError):
 
 
 def unescaped(value: Column) -> Column:
-    r"""``\t``, ``\n``, ``\r`` and ``\\`` replaced in one pass: doubled backslashes are set aside first."""
-    held = F.replace(value, F.lit("\\\\"), F.lit("\x00"))
-    for sign, meant in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\x00", "\\")):
-        held = F.replace(held, F.lit(sign), F.lit(meant))
-    return held
+    r"""``\t``, ``\n``, ``\r`` and ``\\`` replaced: the other escapes lie between doubled backslashes."""
+
+    def plain(part: Column) -> Column:
+        for sign, meant in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
+            part = F.replace(part, F.lit(sign), F.lit(meant))
+        return part
+
+    return F.array_join(F.transform(F.split(value, r"\\\\", -1), plain), "\\")
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:

@@ -2,9 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder of this run that driver and executors share, below ``spark.checkpoint.dir``; only on a local master without one, a temporary folder."""
+    key = spark.sparkContext.applicationId
+    if key not in _OWN:
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if named:
+            _OWN[key] = f"{named}/{key}-{uuid.uuid4().hex}"
+        elif spark.sparkContext.master.startswith("local"):
+            folder = tempfile.TemporaryDirectory(prefix="lexspark-index-")
+            atexit.register(folder.cleanup)
+            _OWN[key] = f"file://{folder.name}"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _OWN[key]
+
+
 class Files:
     def __init__(self, spark: SparkSession):
         self.spark = spark

@@ -9,10 +9,16 @@ replaced in one rename, so readers see the old index or the new one. Files go th
 from __future__ import annotations
 
 import json
+import re
 import threading
 import uuid
+import weakref
+from collections import Counter
 from dataclasses import dataclass
+from typing import ClassVar
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +42,7 @@ class StorageError(ValueError):
 
 
 def write_segment(index: IndexView, path: str, segment_id: int) -> dict:
-    """Writes an index as a segment and reads its counts back; the description of it."""
+    """Writes an index as a segment and reads its counts and checksums back; the description of it."""
     if segment_id <= 0:
         raise StorageError("invalid_id", "segment ids are positive")
     spark, files = index.docs.sparkSession, Files(index.docs.sparkSession)
@@ -46,17 +52,24 @@ def write_segment(index: IndexView, path: str, segment_id: int) -> dict:
     index.lengths.select("doc_id", "field", "dl").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/lengths")
     by_term = index.postings.select("field", "term", "doc_id", "tf", "dl", "positions").repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
     by_term.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
-    description = {"id": segment_id, "schema": index.schema.as_dict(), "fingerprint": index.schema.fingerprint, "rows": _counts(spark, path), "bytes": files.size(path)}
+    description = {"id": segment_id, "schema": index.schema.as_dict(), "fingerprint": index.schema.fingerprint, "sums": _sums(spark, path), "bytes": files.size(path)}
     files.write(f"{path}/segment.json", json.dumps(description, sort_keys=True))
     return description
 
 
-def _counts(spark: SparkSession, path: str) -> dict[str, int]:
-    return {t: spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}").count() for t in TABLES}
+def _sums(spark: SparkSession, path: str) -> dict[str, list]:
+    """For each table its number of rows, and the sum of its rows' hashes: a checksum of the content, in any order of rows."""
+    out = {}
+    for t in TABLES:
+        df = spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}")
+        columns = [F.to_json(c) if kind.startswith("map") else F.col(c) for c, kind in df.dtypes]
+        n, total = df.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first()
+        out[t] = [n, str(total or 0)]
+    return out
 
 
 def open_segment(spark: SparkSession, path: str, verify: bool = True) -> IndexView:
-    """A segment as an index; StorageError if its description or its row counts don't hold."""
+    """A segment as an index; StorageError if its description, its row counts or its checksums don't hold."""
     files = Files(spark)
     if not files.exists(f"{path}/segment.json"):
         raise StorageError("open_failed", f"no segment at {path}")
@@ -65,7 +78,11 @@ def open_segment(spark: SparkSession, path: str, verify: bool = True) -> IndexVi
         schema = IndexSchema.from_dict(description["schema"])
     except (ValueError, KeyError) as e:
         raise StorageError("corrupt", f"unreadable description at {path}: {e}") from e
-    if schema.fingerprint != description["fingerprint"] or verify and _counts(spark, path) != description["rows"]:
+    try:
+        sums = _sums(spark, path) if verify else None
+    except (Py4JJavaError, PySparkException) as e:
+        raise StorageError("corrupt", f"unreadable table at {path}") from e
+    if schema.fingerprint != description["fingerprint"] or verify and sums != description["sums"]:
         raise StorageError("corrupt", f"the segment at {path} isn't what its description says")
     return IndexView(schema, *(spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}") for t in TABLES), generation=description["id"])
 
@@ -156,7 +173,26 @@ class ManifestStore:
         manifest = self.current()
         if manifest is None:
             raise StorageError("no_generation", "nothing was published yet")
-        return merged([open_segment(self.spark, self.segment(s), verify) for s in manifest.segments], manifest.generation)
+        view = merged([open_segment(self.spark, self.segment(s), verify) for s in manifest.segments], manifest.generation)
+        self.lease(view, manifest.generation)
+        return view
+
+    #: Open views of this process: (path, generation) to their number.
+    _LEASES: ClassVar[Counter] = Counter()
+
+    def lease(self, view: IndexView, generation: int) -> None:
+        """A generation's segments stay as long as one of its views does."""
+        key = (self.path, generation)
+        self._LEASES[key] += 1
+        weakref.finalize(view, self._LEASES.subtract, [key])
+
+    def leased(self, generation: int) -> bool:
+        return self._LEASES[self.path, generation] > 0
+
+    def segments_of(self, generation: int) -> tuple[int, ...]:
+        """The segments of a generation whose manifest is still there; none otherwise."""
+        name = f"{self.path}/MANIFEST-{generation}"
+        return tuple(json.loads(self.files.read(name))["segments"]) if self.files.exists(name) else ()
 
 
 @dataclass(frozen=True)
@@ -164,9 +200,11 @@ class WriterOptions:
     refresh_batches: int = 0  # publish by itself after so many batches; 0: only when asked
     compact_at: int = 8
     compact_width: int = 4
+    keep_generations: int = 2  # stay for readers in other processes, the current one included
+    most_pending: int = 0  # batches that may wait for a refresh; 0: any number
 
     def __post_init__(self):
-        if self.refresh_batches < 0 or self.compact_at < 2 or not 2 <= self.compact_width <= self.compact_at:
+        if self.refresh_batches < 0 or self.keep_generations < 1 or self.most_pending < 0 or self.compact_at < 2 or not 2 <= self.compact_width <= self.compact_at:
             raise StorageError("invalid_options", "limits of the writer contradict each other")
 
 
@@ -190,8 +228,15 @@ class IndexWriter:
         self.clean(current)
 
     def clean(self, current: Manifest | None) -> None:
-        """Segments and manifests that no generation reads, left by a writer that died."""
-        keep = {f"segment-{s}" for s in current.segments} | {f"MANIFEST-{current.generation}"} if current else set()
+        """Deletes segments and manifests that no kept generation reads.
+
+        Kept are the last ``keep_generations`` and those of which this process has an open view.
+        """
+        keep: set[str] = set()
+        for name in self.files.names(self.path) if current else ():
+            generation = int(name.removeprefix("MANIFEST-")) if re.fullmatch(r"MANIFEST-\d+", name) else 0
+            if 0 < generation <= current.generation and (generation > current.generation - self.options.keep_generations or self.store.leased(generation)):
+                keep |= {name, *(f"segment-{s}" for s in self.store.segments_of(generation))}
         for name in self.files.names(self.path):
             if name.startswith(("segment-", "MANIFEST-")) and name not in keep:
                 self.files.delete(f"{self.path}/{name}")
@@ -214,6 +259,8 @@ class IndexWriter:
         """Logs a batch. A named batch that is there already is left as it is: writing it twice is safe."""
         with self.lock:
             names = self.files.names(f"{self.path}/log")
+            if self.options.most_pending and len(self.batches()) >= self.options.most_pending and not any(batch and n.endswith(f"-{batch}") for n in names):
+                raise StorageError("too_many_pending", "refresh before more batches are put")
             if batch is not None and any(n.endswith(f"-{batch}") for n in self.batches()):
                 return
             last = max((int(n.split("-")[0]) for n in names), default=0)

@@ -42,6 +42,8 @@ class OrderedReplica:
     epoch: int
     applied: int = 0
     operations: dict[str, str] = field(default_factory=dict)
+    #: Operations that are remembered, the newest; the state of a stream stays bounded. An older one's repeat is a stale sequence.
+    most_operations: int = 100_000
 
     def apply(self, shard: int, epoch: int, operation_id: str, sequence: int, payload: str) -> str:
         """``applied``, ``duplicate``, or why the record is refused."""
@@ -61,6 +63,8 @@ class OrderedReplica:
             return "sequence_gap"
         self.applied = sequence
         self.operations[operation_id] = digest
+        if len(self.operations) > self.most_operations:
+            del self.operations[next(iter(self.operations))]
         return "applied"
 
 
