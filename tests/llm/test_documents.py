@@ -1,7 +1,10 @@
 """Per-document operators against brute force."""
 
+import base64
 import hashlib
+import random
 import re
+import string
 import struct
 import zlib
 from collections import Counter
@@ -301,3 +304,43 @@ def test_fingerprints_add_and_remove(spark):
     assert pair.select(fingerprints.added(pair["3"], pair["4"])).first()[0] == p[1]
     whole = prints.where("doc_id in (1, 4)").groupBy().pivot("doc_id", [1, 4]).agg({"fingerprint": "min"})
     assert whole.select(fingerprints.removed(whole["1"], whole["4"])).first()[0] == p[3]
+
+
+def test_secrets_of_every_encoding_among_ordinary_text(spark):
+    """Planted keys are reported, ordinary runs (long words, paths, slugs, names) aren't."""
+    rng = random.Random(1)
+    make = {
+        "base62": lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n)),
+        "base64": lambda n: base64.b64encode(rng.randbytes(n * 3 // 4)).decode(),
+        "url": lambda n: base64.urlsafe_b64encode(rng.randbytes(n * 3 // 4)).decode(),
+        "base32": lambda n: base64.b32encode(rng.randbytes(n * 5 // 8)).decode(),
+        "hex": lambda n: rng.randbytes(n // 2).hex().upper(),
+    }
+    rows, planted = [], {}
+    for doc_id, text in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect():
+        words = (text or "").split(" ")
+        extra = ""
+        if doc_id % 8 == 0:
+            extra = planted[doc_id] = make[sorted(make)[doc_id // 8 % 5]]((24, 32, 40, 64)[doc_id // 40 % 4])
+        elif doc_id % 8 == 4:
+            letters = [w.lower() for w in words if w.isascii() and w.isalpha()][:9]
+            extra = ("".join(letters), "-".join(letters), "/usr/" + "/".join(letters), "".join(w.title() for w in letters))[doc_id // 8 % 4]
+        words.insert(len(words) // 2, extra)
+        rows.append((doc_id, " ".join(words)))
+    texts_of, hit, false = dict(rows), set(), []
+    for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        for kind, a, b in (s.split(":") for s in r.spans.split(",") if s):
+            run = texts_of[r.doc_id][int(a) : int(b)]
+            if kind == "random" and r.doc_id in planted and run in planted[r.doc_id]:
+                hit.add(r.doc_id)
+            elif kind == "random":
+                false.append(run)
+    assert len(hit) >= 0.85 * len(planted), (len(hit), len(planted))
+    assert len(false) <= 0.03 * len(hit), false
+
+
+def test_secrets_places_of_many_matches(spark):
+    text = " ".join(f"token=abcdefgh{k} {'é' * (k % 3)}" for k in range(1500))
+    got = secrets.secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = [f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token=[a-z0-9]+", text)]
+    assert got.n_assign == 1500 and got.spans == ",".join(want)
