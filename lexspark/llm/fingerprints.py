@@ -38,42 +38,30 @@ LOW32, LANES = 0xFFFFFFFF, 0x0000000100000001
 HEX_EXACT, HEX_DIM = 8, 4
 
 
-def vectors(rows: DataFrame, keys: list[str], text: str, sides: dict[str, Column] | None = None) -> DataFrame:
+def vectors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(*keys, rows, exact: array of long, pairs: long, ones: array of short) for each key.
 
     Rows with equal keys must have equal texts; ``rows`` says how many there are, and the
-    vector is that of one. Counters modulo 2^16 are held as signed numbers. ``sides``
-    names vectors, each of the texts for which its condition holds, one text a row: one
-    shuffle then serves them all (exact_a, ...), and ``rows`` counts those of the first.
+    vector is that of one. Counters modulo 2^16 are held as signed numbers. The sums of one text are
+    few enough columns for the aggregate to be compiled.
     """
-    plain = sides is None
-    sides = sides or {"": F.lit(True)}
     paragraphs = rows.select(*rows.columns, F.posexplode(F.split(F.col(text), "\n")).alias("p_at", "p")).drop(text)
     words = F.split(F.col("p"), " ")
     pairs = paragraphs.select("*", F.posexplode(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))).alias("w_at", "w0"))
     hashes = [F.xxhash64(F.col("p"), F.lit(k)) for k in range(EXACT // 2)]
     halves = [h for x in hashes for h in (x.bitwiseAND(F.lit(LOW32)), F.shiftrightunsigned(x, 32))]
     mixed = [F.col("w0"), *(F.xxhash64("w0", F.lit(k)) for k in range(1, DIMS // 64))]
-    sums = []
-    for side, holds in sides.items():
-        first = holds & (F.col("w_at") == 0)
-        of_side = (lambda x: x) if plain else (lambda x, holds=holds: F.when(holds, x).otherwise(F.lit(0)))
-        sums += [F.sum(F.when(first, h).otherwise(F.lit(0))).alias(f"e{k}{side}") for k, h in enumerate(halves)]
-        sums += [F.sum(of_side(F.shiftright(w, b).bitwiseAND(F.lit(LANES)))).alias(f"c{k}_{b}{side}") for k, w in enumerate(mixed) for b in range(32)]
-        sums += [F.count(F.when(holds, 1)).alias(f"n{side}")]
-    lead = next(iter(sides.values()))
-    summed = pairs.groupBy(*keys).agg(*sums, F.count(F.when(lead & (F.col("w_at") == 0) & (F.col("p_at") == 0), 1)).alias("rows"))
+    first = F.col("w_at") == 0
+    sums = [F.sum(F.when(first, h).otherwise(F.lit(0))).alias(f"e{k}") for k, h in enumerate(halves)]
+    sums += [F.sum(F.shiftright(w, b).bitwiseAND(F.lit(LANES))).alias(f"c{k}_{b}") for k, w in enumerate(mixed) for b in range(32)]
+    summed = pairs.groupBy(*keys).agg(*sums, F.count("*").alias("n"), F.count(F.when(first & (F.col("p_at") == 0), 1)).alias("rows"))
     share = lambda c: F.expr(f"{c} div rows")
     low = lambda c: share(c).bitwiseAND(F.lit(LOW32))
     high = lambda c: F.shiftrightunsigned(share(c), 32)
     signed = lambda c: (F.pmod(c + (1 << 15), F.lit(1 << 16)) - (1 << 15)).cast("short")
-    out = []
-    for side in sides:
-        tail = f"_{side}" if side else ""
-        out.append(F.array(*(low(f"e{k}{side}") for k in range(EXACT))).alias(f"exact{tail}"))
-        out.append(low(f"n{side}").alias(f"pairs{tail}"))
-        out.append(F.array(*(signed(lane(f"c{k}_{b}{side}")) for k in range(DIMS // 64) for lane in (low, high) for b in range(32))).alias(f"ones{tail}"))
-    return summed.select(*keys, "rows", *out)
+    exact = F.array(*(low(f"e{k}") for k in range(EXACT)))
+    ones = F.array(*(signed(lane(f"c{k}_{b}")) for k in range(DIMS // 64) for lane in (low, high) for b in range(32)))
+    return summed.select(*keys, "rows", exact.alias("exact"), low("n").alias("pairs"), ones.alias("ones"))
 
 
 def _padded(x: Column, width: int) -> Column:
@@ -146,16 +134,16 @@ def _range_of(value: Column, lows: list[int]) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: at + F.when(F.coalesce(F.get(bounds, at + step - 1) <= value, F.lit(False)), step).otherwise(0)) - 1
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, leads, next_id, next_text): the next document in descending order of id.
+def with_next(docs: DataFrame) -> list[DataFrame]:
+    """(range, doc_id, text, leads, next_id, next_text): the next document in descending order of id.
 
-    ``leads`` holds for one row of each id and text.
+    ``leads`` holds for one row of each id and text. Two tables, of the rows with an id (dealt out by range) and of those without.
     """
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     lows, highs = ranges(docs)
-    unordered = rows.where("doc_id is null").select("doc_id", "text", F.lit(False).alias("leads"), F.lit(None).cast("long").alias("next_id"), F.lit("").alias("next_text"))
+    unordered = rows.where("doc_id is null").select(F.lit(-1).alias("range"), "doc_id", "text", F.lit(False).alias("leads"), F.lit(None).cast("long").alias("next_id"), F.lit("").alias("next_text"))
     if not lows:
-        return unordered
+        return [unordered]
     at = F.col("range")
     top = F.get(F.from_json(F.lit(str(highs)), "array<bigint>"), at) == F.col("doc_id")
     own = F.struct(at.alias("range"), F.lit(0).alias("copy"))
@@ -169,9 +157,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("range").orderBy("copy", F.desc("doc_id"), "text")
     again = (F.lag("doc_id").over(order) == F.col("doc_id")) & (F.lag("text").over(order) == F.col("text"))
     paired = dealt.select(
-        "doc_id", "text", "copy", (~F.coalesce(again, F.lit(False))).alias("leads"), F.lead("doc_id").over(order).alias("next_id"), F.lead("text").over(order).alias("next_text")
+        "range", "doc_id", "text", "copy", (~F.coalesce(again, F.lit(False))).alias("leads"), F.lead("doc_id").over(order).alias("next_id"), F.lead("text").over(order).alias("next_text")
     )
-    return paired.where("copy = 0").drop("copy").unionByName(unordered)
+    return [paired.where("copy = 0").drop("copy"), unordered]
 
 
 def compared(docs: DataFrame) -> DataFrame:
@@ -179,12 +167,17 @@ def compared(docs: DataFrame) -> DataFrame:
     size = F.length("text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.left("text", size - half), F.left("next_text", half))
-    keys = ["doc_id", "text_hash", "next_id", "next_hash", "leads", "n_chars", "sha"]
-    both = with_next(docs).select("doc_id", "leads", "next_id", F.xxhash64("text").alias("text_hash"), F.xxhash64("next_text").alias("next_hash"), size.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    texts = both.withColumn("sha", F.sha2("edited", 256)).select(*keys, F.explode(F.array(F.struct(F.lit(False).alias("edit"), F.col("text").alias("t")), F.struct(F.lit(True).alias("edit"), F.col("edited").alias("t")))).alias("v"))
-    sides = {"a": ~F.col("edit"), "b": F.col("edit")}
-    found = written(vectors(texts.select(*keys, "v.edit", "v.t"), keys, "t", sides), "vectors")
+    keys = ["range", "doc_id", "text_hash", "next_id", "next_hash", "leads", "n_chars", "sha"]
     parts = ["exact", "pairs", "ones"]
+    found = None
+    for rows in with_next(docs):
+        both = rows.select("range", "doc_id", "leads", "next_id", F.xxhash64("text").alias("text_hash"), F.xxhash64("next_text").alias("next_hash"), size.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+        texts = both.withColumn("sha", F.sha2("edited", 256)).select(*keys, F.explode(F.array(F.struct(F.lit(False).alias("edit"), F.col("text").alias("t")), F.struct(F.lit(True).alias("edit"), F.col("edited").alias("t")))).alias("v"))
+        # Rows lie together by range already, so neither aggregate shuffles.
+        single = vectors(texts.select(*keys, "v.edit", "v.t"), [*keys, "edit"], "t")
+        sides = single.groupBy(*keys).agg(F.max("rows").alias("rows"), *(F.first(F.when(F.col("edit") == (m == "b"), F.col(c)), ignorenulls=True).alias(f"{c}_{m}") for m in "ab" for c in parts))
+        found = sides if found is None else found.unionByName(sides)
+    found = written(found.drop("range"), "vectors")
     following = found.where("leads").select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"), *(F.col(f"{c}_a").alias(f"{c}_c") for c in parts))
     col = {m: {c: F.col(f"{c}_{m}") for c in parts} for m in "abc"}
     joined = found.join(following, (F.col("next_id") == F.col("c_id")) & (F.col("next_hash") == F.col("c_hash")), "left")
