@@ -2,11 +2,12 @@
 
 Each document's token ids are hashed to vectors; their mean, projected to four dimensions,
 gives a Hilbert key. Documents are range-sorted by (key, id), so that a key which many
-copies share is split like any other stretch, and each range is cut into sequences of
+copies share is split like any other stretch; there are as many ranges as make about ``RANGE_IDS`` ids each, and each is cut into sequences of
 ``length`` ids along the curve: neighbours on the curve share sequences. What is left at the
 end of a range goes into sequences whose lengths are powers of two, so nothing is padded.
 
-Defined cases: a null or empty text is the end id alone. Rows without an id come first in
+Defined cases: a null or empty text is the end id alone. A text that spells a special token
+gets that token's id, as the tokenizer itself gives it. Rows without an id come first in
 their key's order; repeated rows are packed as often as they occur. Texts count whole and may
 be cut anywhere, over any number of sequences. An empty table gives no pieces.
 """
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 LENGTH = 4096
+#: Ids in a range: a task cuts as many. Ranges are as many as that takes.
+RANGE_IDS = 1 << 22
 END_ID = 2
 DIMS, BITS = 4, 15
 #: Chunks of text whose ids a task remembers.
@@ -57,8 +60,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        model = json.load(open(path, encoding="utf-8"))["model"]
+        whole = json.load(open(path, encoding="utf-8"))
+        model = whole["model"]
+        special = [t["content"] for t in whole.get("added_tokens", [])]
+        self.special = regex.compile("|".join(map(regex.escape, special)), regex.IGNORECASE) if special else None
+        if len(model["vocab"]) > 1 << 16 or not any(word.endswith("</w>") for word in model["vocab"]):
+            raise ValueError("a vocabulary of merged bytes with end marks and at most 65,536 ids is needed")
         codes = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(c): c for c in codes} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in codes)}
         ranks: dict[bytes, int] = {}
@@ -93,6 +100,10 @@ class Encoder:
             self.known.clear()
         known, split, new = self.known, [], set()
         for text in texts:
+            if self.special and self.special.search(text):
+                split.append([text])
+                known[text] = self.exact(text)
+                continue
             flat = text.replace("\n", " ")
             chunks = flat.split(" ")
             split.append(chunks)
@@ -235,5 +246,9 @@ def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
     """The pieces (see ``PIECE``) of all rows of ``docs``."""
     path = path or default_vocabulary()
     rows = docs.select("doc_id", tokens(F.col("text"), path).alias("t")).select("doc_id", "t.ids", "t.key")
-    curve = written(rows, "tokens").repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
+    rows = written(rows, "tokens")
+    ids = rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    spark = docs.sparkSession
+    parts = max(1, -(-ids // (2 * RANGE_IDS)), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    curve = rows.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
     return curve.select("doc_id", "ids").mapInArrow(lambda batches: _cut(batches, length), PIECE)

@@ -177,7 +177,6 @@ def test_packing_round_trip(spark, small, docs):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(packing.default_vocabulary())
-    plain.encode_special_tokens = True
     for df, rows in ((docs, texts()), (table(spark, small, "documents"), None)):
         rows = rows or [tuple(r) for r in df.select("doc_id", "text").collect()]
         pieces = packing.packed(df).collect()
@@ -216,7 +215,6 @@ def test_encoder_equals_tokenizer():
 
     path = packing.default_vocabulary()
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     encoder = packing.Encoder(path)
     for text in ("Hello, I'm don't 'Sup İstanbul ΣΑΣ é é <|endoftext|> a\x1cb !\x1c! 12ab \x00a\x00 ", "", "　x", "ǅ ÀÉ straße ﬁ\xa0µ", "don’t it'S ''''s", "a\tb\r\nc\u0085d"):
         want = plain.encode(text, add_special_tokens=False).ids
