@@ -1,12 +1,13 @@
 """Line dedup by winnowing over line hashes.
 
 Lines compare without the white space at their ends; blank lines have no say. In every window of
-``WINDOW`` lines the least line hash (the last of equal ones) is its fingerprint.
+``WINDOW`` lines the least line hash (the last of equal ones) is its fingerprint. A text gives a row for each
+line that is some window's fingerprint, with the windows that it stands for.
 Windows of one content have one fingerprint at one place, so a run of ``WINDOW`` or more
-lines that occurs twice is sure to share fingerprints at the same lines. Fingerprints that
-occur at two places join; around each, the windows that it stands for, to both sides, are
-compared whole. The earliest place of each window (by id, then text, then line) stays; at
-every later one its lines go, and so, window by window, whole repeated runs.
+lines that occurs twice is sure to share fingerprints at the same lines. Places of a fingerprint join where a window
+around them, to either side, has the same content. The earliest place of each window (by id, then text, then line) stays; at
+every later one its lines go. As the next window on either side has a fingerprint within it, a match extends both ways, window by window, to the
+end of what is repeated, whichever earlier documents its parts are from.
 
 What goes is thus every line within a window of ``WINDOW`` lines whose content occurs
 earlier. A fingerprint's places are never paired: they meet the earliest one through sums that combine
@@ -29,8 +30,8 @@ from .common import written
 
 WINDOW = 2
 SPACES = " \t\n\x0b\x0c\r"
-#: A window: its first and last line (in the text), its fingerprint's place and hash, its content's hash.
-PLACE = "array<struct<first:int,last:int,at:int,anchor:long,content:long>>"
+#: A fingerprint: its place (line in the text) and hash; its windows' first and last lines, and the hash of their content.
+FINGERPRINT = "array<struct<at:int,anchor:long,windows:array<struct<first:int,last:int,content:long>>>>"
 
 
 def window_places(text: str | None, window: int) -> list[dict]:
@@ -48,11 +49,22 @@ def window_places(text: str | None, window: int) -> list[dict]:
     return out
 
 
-def windows(text: Column, window: int) -> Column:
-    @F.arrow_udf(PLACE)
+def selected(text: str | None, window: int) -> list[dict]:
+    """A row for each fingerprint: its place and hash, and the windows that it stands for."""
+    out: list[dict] = []
+    for w in window_places(text, window):  # in order, and so those of one fingerprint in a row
+        if not out or out[-1]["at"] != w["at"]:
+            out.append({"at": w["at"], "anchor": w["anchor"], "windows": []})
+        out[-1]["windows"].append({k: w[k] for k in ("first", "last", "content")})
+    return out
+
+
+def fingerprints(text: Column, window: int) -> Column:
+    @F.arrow_udf(FINGERPRINT)
     def places(texts: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("at", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64())]))
-        return pa.array([window_places(t.as_py(), window) for t in texts], kind)
+        inner = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("content", pa.int64())]))
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("anchor", pa.int64()), ("windows", inner)]))
+        return pa.array([selected(t.as_py(), window) for t in texts], kind)
 
     return places(text)
 
@@ -78,16 +90,19 @@ def without(text: Column, spans: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_hash, spans) of the texts that repeat an earlier run of lines."""
+    """(doc_id, text_hash, spans) of the texts that repeat an earlier run of lines.
+
+    The earliest places come from sums that combine map-side; the places then meet them in a plain join, which adaptive
+    execution splits where a line is hot. Two hashes of 64 bits, of the fingerprint and of the window, tell contents apart.
+    """
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     found = written(
-        texts.select("doc_id", "text_hash", F.explode(windows(F.col("text"), window)).alias("w")).select("doc_id", "text_hash", "w.*"), "windows"
+        texts.select("doc_id", "text_hash", F.explode(fingerprints(F.col("text"), window)).alias("f")).select("doc_id", "text_hash", "f.*"), "fingerprints"
     )
-    place = lambda line: F.struct("doc_id", "text_hash", F.col(line).alias("line"))
-    shared = found.groupBy("anchor").agg(F.min(place("at")).alias("a"), F.max(place("at")).alias("z")).where("a <> z").select("anchor")
-    joined = found.join(shared, "anchor")
-    earliest = joined.groupBy("anchor", "content").agg(F.min(place("first")).alias("a"), F.max(place("first")).alias("z")).where("a <> z").select("anchor", "content", "a")
-    later = joined.join(earliest, ["anchor", "content"]).where(place("first") > F.col("a"))
+    place = F.struct("doc_id", "text_hash", F.col("first").alias("line"))
+    around = found.select("doc_id", "text_hash", "anchor", F.inline("windows"))
+    earliest = around.groupBy("anchor", "content").agg(F.min(place).alias("a"), F.count("*").alias("n")).where("n > 1").select("anchor", "content", "a")
+    later = around.join(earliest, ["anchor", "content"]).where(place > F.col("a"))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
