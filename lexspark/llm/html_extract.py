@@ -6,9 +6,10 @@ host's distinct pages have there. A node's importance mixes the normalised entro
 ``GAMMA`` of it from the contents: what looks and reads the same on every page scores near
 zero. Branches under ``LEAST_IMPORTANCE`` go, if at least ``LEAST_PAGES`` pages have them.
 
-Entropy alone can't tell a menu whose entries change from page to page, so elements whose tag, role,
+Entropy alone can't tell a menu whose entries change from page to page, so outside the article elements whose tag, role,
 class or id says that they are menus, headers, footers, sidebars, notices, adverts, forms or reader
-comments go too; and where a page marks its article, only that is read. Within it,
+comments go too; and where a page marks its article, only that is read. Within it, only elements go whose tag or role is never content, or one of whose
+classes is, as a whole, a name for such things (``NOISE_TOKEN``), and
 plain text elements (no class or id) stay whatever their importance, as pages may quote each other.
 
 Parsing is lenient: unclosed elements, missing ends, stray end tags and cut pages are
@@ -62,6 +63,12 @@ NOISE_NAME = re.compile(
     r"site-header|page-header|header)(?:$|[-_ \d])",
     re.I,
 )
+#: Within the article, only whole names of things that aren't content.
+NOISE_TOKEN = re.compile(
+    r"(?:ads?|advert|advertisement|adsense|ad-(?:slot|unit|box|container|banner)|banner-ad|sponsored|promo|cookie-(?:notice|banner|consent)|consent|newsletter(?:-signup)?|subscribe|signup|popup|modal|overlay|"
+    r"share|sharing|share-(?:bar|buttons|links)|social-(?:share|links|buttons|media)|sidebar|navbar|breadcrumbs?|comments|comment-list|commentlist|disqus|replies|pagination|pager)",
+    re.I,
+)
 MAIN_NAME = re.compile(r"(?:^| )(?:content|main|main-content|article|article-body|post|post-content|post-body|entry|entry-content|story|story-body)(?:$| )", re.I)
 
 
@@ -78,8 +85,9 @@ class Element:
                     self.role = next(filter(None, values), "").lower()
         within = parent is not None and parent.main
         self.main = within or tag in ("article", "main") or self.role in ("main", "article")
-        self.noise = tag in NOISE or self.role in NOISE_ROLE or bool(self.name and NOISE_NAME.search(self.name)) or tag == "header" and not within
-        self.path = f"{parent.path if parent else ''}/{tag}{'.' + self.name if self.name else ''}"
+        named = bool(self.name) and (any(map(NOISE_TOKEN.fullmatch, self.name.split())) if within else bool(NOISE_NAME.search(self.name)))
+        self.noise = tag in NOISE or self.role in NOISE_ROLE or named or tag == "header" and not within
+        self.path = hashed(f"{parent.path if parent else ''}/{tag}{'.' + self.name if self.name else ''}")  # of one size, however deep
         self.kids: list = []  # elements and texts, in page order
 
 
@@ -161,7 +169,7 @@ def style_nodes(page: str) -> tuple[int, list[tuple[int, int, int]]]:
     """(hash of the page's text, (path, presentation, content) hashes of each path)."""
     order = list(walk(parse(page)))
     inner: dict[int, int] = {}
-    nodes: dict[str, list[tuple[str, int]]] = {}
+    nodes: dict[int, list[tuple[str, int]]] = {}
     for e in reversed(order):  # children first
         tags = [k if isinstance(k, str) else k.tag for k in e.kids if not isinstance(k, str)]
         shape = " ".join(t for n, t in enumerate(tags) if not n or tags[n - 1] != t)
@@ -170,7 +178,7 @@ def style_nodes(page: str) -> tuple[int, list[tuple[int, int, int]]]:
     out = []
     for path, own in nodes.items():
         shapes = [s for s, _ in reversed(own)]
-        out.append((hashed(path), hashed("\x02".join(s for n, s in enumerate(shapes) if not n or shapes[n - 1] != s)), hashed(" ".join(str(c) for _, c in own))))
+        out.append((path, hashed("\x02".join(s for n, s in enumerate(shapes) if not n or shapes[n - 1] != s)), hashed(" ".join(str(c) for _, c in own))))
     return inner[id(order[0])], out
 
 
@@ -179,7 +187,7 @@ def main_text(page: str, unimportant: frozenset[int] = frozenset()) -> str:
     root = parse(page)
 
     def gone(e: Element) -> bool:
-        return e.noise or bool(unimportant) and not (e.tag in PLAIN and not e.name) and not e.tag in ("article", "main") and hashed(e.path) in unimportant
+        return e.noise or bool(unimportant) and not (e.tag in PLAIN and not e.name) and not e.tag in ("article", "main") and e.path in unimportant
 
     def outermost(test) -> list[Element]:
         found, stack = [], [root]

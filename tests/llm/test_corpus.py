@@ -301,3 +301,28 @@ def test_oracle_of_line_dedup(spark, small):
     want = Counter(con.execute(f"select doc_id, n_lines, n_deleted, text from ({line_dedup.ORACLE_SQL})").fetchall())
     got = Counter(tuple(r) for r in line_dedup.lines_deleted(table(spark, small, "documents")).select("doc_id", "n_lines", "n_deleted", "text").collect())
     assert got == want
+
+
+def test_line_dedup_rows_are_fingerprints():
+    """A row for each selected minimum, which together stand for every window."""
+    text = "\n".join(f"line {k}" for k in range(60))
+    rows = line_dedup.selected(text, 2)
+    assert len({r["at"] for r in rows}) == len(rows) < 59 * 0.85
+    assert sorted((w["first"], w["last"]) for r in rows for w in r["windows"]) == [(k, k + 1) for k in range(59)]
+    assert all(w["first"] <= r["at"] <= w["last"] for r in rows for w in r["windows"])
+
+
+def test_html_article_keeps_what_only_sounds_like_noise():
+    page = "<article><div class='related-work'>Related work</div><p class='social-history note'>History</p><section id='widget'>Widget</section><div class='ad box'>Buy</div><div class='share-bar'>Share</div></article>"
+    assert html_extract.main_text(page) == "Related work\nHistory\nWidget"
+
+
+def test_html_deep_pages_with_classes_stay_small():
+    import tracemalloc
+
+    page = "<div class='level'>" * 8000 + "core"
+    tracemalloc.start()
+    html_extract.style_nodes(page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 * len(page)
