@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,15 @@ def drop_written() -> None:
 atexit.register(drop_written)
 
 
+def release() -> None:
+    """Gives a Python worker's unused memory back: workers stay, and take up other stages' batches."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that clashes with none of ``df``."""
     taken = {c.lower() for c in df.columns}

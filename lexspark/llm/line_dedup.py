@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 WINDOW = 2
 SPACES = " \t\n\x0b\x0c\r"
@@ -64,7 +64,9 @@ def fingerprints(text: Column, window: int) -> Column:
     def places(texts: pa.Array) -> pa.Array:
         inner = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("content", pa.int64())]))
         kind = pa.list_(pa.struct([("at", pa.int32()), ("anchor", pa.int64()), ("windows", inner)]))
-        return pa.array([selected(t.as_py(), window) for t in texts], kind)
+        out = pa.array([selected(t.as_py(), window) for t in texts], kind)
+        release()
+        return out
 
     return places(text)
 
@@ -84,7 +86,10 @@ def without(text: Column, spans: Column) -> Column:
             for s in spans.as_py():
                 gone[s["first"] : s["last"] + 1] = True
             out.append("\n".join(line for line, g in zip(lines, gone) if not g))
-        return pa.array(out, pa.string())
+        left = pa.array(out, pa.string())
+        del out
+        release()
+        return left
 
     return cut(text, spans)
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 from .graph import connected_components
 from .simhash import first_of_each, rooted
 from .substring_dedup import _ODD, Shingler, mixed
@@ -49,6 +49,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         names = [c.split()[0] for c in SIGNATURE.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+        del out
+        release()
 
 
 def similar(text, source):
@@ -57,12 +59,14 @@ def similar(text, source):
     @F.arrow_udf("boolean")
     def alike(texts: pa.Array, sources: pa.Array) -> pa.Array:
         shingles, last, out = Shingler(), (None, None), []
-        for a, b in zip(texts.to_pylist(), sources.to_pylist()):
+        for a, b in zip(texts, sources):
             if last[0] != b:
-                last = (b, np.unique(shingles(b)))
-            own = np.unique(shingles(a))
+                last = (b, np.unique(shingles(b.as_py())))
+            own = np.unique(shingles(a.as_py()))
             shared = len(np.intersect1d(own, last[1], assume_unique=True))
             out.append(shared > 0 and shared >= SIMILARITY * (len(own) + len(last[1]) - shared))
+        del shingles, last
+        release()
         return pa.array(out, pa.bool_())
 
     return alike(text, source)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 LENGTH = 4096
 #: Ids in a range: a task cuts as many. Ranges are as many as that takes.
@@ -34,7 +34,7 @@ RANGE_IDS = 1 << 22
 END_ID = 2
 DIMS, BITS = 4, 15
 #: Chunks of text whose ids a task remembers.
-MEMORY = 400_000
+MEMORY = 200_000
 MARK = "\x00"
 
 
@@ -191,6 +191,7 @@ def tokens(text: Column, path: str) -> Column:
         end, ids = np.array([END_ID], "<u2").tobytes(), []
         for at in range(0, len(texts), 32):
             ids += [b + end for b in encoder(path).encode_many([t.as_py() or "" for t in texts[at : at + 32]])]
+        release()
         return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(curve_keys(ids), pa.int64())], names=["ids", "key"])
 
     return tokenize(text)
@@ -240,6 +241,8 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
     while size:
         emit(1 << (size.bit_length() - 1), rows)
     yield batch_of(rows)
+    del rows, held
+    release()
 
 
 def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:

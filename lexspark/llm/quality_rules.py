@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, release
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -138,6 +138,8 @@ def rules(text: Column, bands: Bands = Bands()) -> Column:
         packer = zstandard.ZstdCompressor(level=bands.level)
         rows = [figures(t.as_py(), bands, packer) for t in texts]
         columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_ARROW)]
+        del rows, packer
+        release()
         return pa.StructArray.from_arrays(columns, names=NAMES)
 
     return measure(text)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 from .graph import connected_components
 
 RADIUS = 3
@@ -67,7 +67,9 @@ def majority(hashes: np.ndarray) -> int:
 def fingerprint(text: Column, size: int = 3) -> Column:
     @F.arrow_udf("long")
     def simhash(texts: pa.Array) -> pa.Array:
-        return pa.array([majority(shingle_hashes(t.as_py(), size)) for t in texts], pa.int64())
+        out = pa.array([majority(shingle_hashes(t.as_py(), size)) for t in texts], pa.int64())
+        release()
+        return out
 
     return simhash(text)
 

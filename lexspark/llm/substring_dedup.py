@@ -58,7 +58,8 @@ SIMILARITY = 0.8
 GAP = 12
 #: Shingles to either side of a place that verification reads, in whole blocks.
 MARGIN = BLOCK = 64
-#: Shingles that are looked through together.
+#: Words that a task remembers, and shingles that are looked through together.
+MEMORY = 200_000
 CHUNK = 1 << 18
 
 _U = np.uint64
@@ -82,7 +83,7 @@ class Shingler:
         n = len(words) - SHINGLE + 1
         if n < 1:
             return np.zeros(0, np.uint64)
-        if len(self.known) > 500_000:
+        if len(self.known) > MEMORY:
             self.known.clear()
         known = self.known
         for w in set(words).difference(known):
