@@ -3,8 +3,9 @@
 Besides what ``simhash`` links, documents whose sets of five-word shingles have Jaccard similarity
 ``SIMILARITY`` or more are linked. Candidates share one of ``BANDS`` bands of ``ROWS`` least hashes
 each, which a pair at similarity 0.8 misses with probability 0.0004. Each band's first document (by
-text hash) is compared with the other members on their whole sets; members that it isn't like are compared with the
-next two of them, then four, and so on until none is left, so many like documents give a pair each.
+text hash) is compared with the other members on their whole sets; members that it isn't like are grouped anew by one
+more least hash, which documents at similarity 0.8 share four times in five, and so on until each is alone. So many like
+documents give a pair each, and many unlike ones that share a passage fall apart in a few rounds, not pair by pair.
 
 A document that is like one linked already, but not like that one's source, has the other bands to meet it.
 Texts are told apart by their hash, so several texts of one id are several documents.
@@ -21,17 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import discard, release, written
 from .graph import connected_components
 from .simhash import first_of_each, rooted
 from .substring_dedup import _ODD, Shingler, mixed
 
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
-SIGNATURE = "text_hash long, n long, whole long, bands array<long>"
+SIGNATURE = "text_hash long, n long, whole long, bands array<long>, least array<int>"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,8 +46,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             least = np.array([(s * k).min() for k in odd]).reshape(BANDS, ROWS)
             bands = mixed((mixed(least) * _ODD[:ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _ODD[6])
-            out.append((text_hash, len(s), xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), bands.view(np.int64).tolist()))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            out.append((text_hash, len(s), xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), bands.view(np.int64).tolist(), (least >> np.uint64(40)).astype(np.int32).ravel().tolist()))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         names = [c.split()[0] for c in SIGNATURE.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
         del out
@@ -78,30 +79,31 @@ def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
     signed = written(named.mapInArrow(_signatures, SIGNATURE), "signatures")
     firsts = signed.groupBy("whole").agg(F.min("text_hash").alias("first"))
     found = signed.join(firsts, "whole").where("text_hash <> first").select(F.col("text_hash").alias("u"), F.col("first").alias("v"))
-    only = signed.join(firsts, "whole").where("text_hash = first").dropDuplicates(["text_hash"]).join(groups, "text_hash")
-    members = written(only.select("text_hash", "n", "root", F.explode("bands").alias("group")), "bands")
-    shared = members.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("group")
-    members, most, texts = members.join(shared, "group"), 1, None
+    only = written(signed.join(firsts, "whole").where("text_hash = first").dropDuplicates(["text_hash"]).drop("whole", "first"), "distinct")
+    named_groups = only.drop("least").join(groups, "text_hash")
+    members = named_groups.select("text_hash", "n", "root", F.posexplode("bands").alias("band", "group"))
+    texts, turn = None, 0
     while True:
         members = written(members, "members")
-        ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy("text_hash"))).where(F.col("rank") <= most)
-        sources = ranked.select("group", *(F.col(c).alias(f"source_{c}") for c in ("text_hash", "n", "root")))
-        pairs = written(members.join(sources, "group").where("text_hash > source_text_hash").withColumnRenamed("source_text_hash", "source_hash"), "pairs")
+        sources = members.groupBy("group").agg(F.min(F.struct("text_hash", "n", "root")).alias("s"), F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z")
+        sources = sources.select("group", *(F.col(f"s.{c}").alias(f"source_{c}") for c in ("n", "root")), F.col("s.text_hash").alias("source_hash"))
+        pairs = written(members.join(sources, "group").where("text_hash <> source_hash"), "pairs")
+        discard(members)
         if pairs.isEmpty():
             return found
         near = F.least("n", "source_n") >= SIMILARITY * F.greatest("n", "source_n")
         asked = written(pairs.where((F.col("root") != F.col("source_root")) & near).select("text_hash", "source_hash").distinct(), "asked")
         if texts is None:  # later rounds ask for other documents of these groups
-            texts = written(named.join(members.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"]), "texts")
+            ids = pairs.select("text_hash").union(pairs.select("source_hash")).distinct()
+            texts = written(named.join(ids, "text_hash", "left_semi").dropDuplicates(["text_hash"]), "texts")
         both = asked.join(texts, "text_hash").join(texts.select(F.col("text_hash").alias("source_hash"), F.col("text").alias("source")), "source_hash")
         alike = written(both.select("text_hash", "source_hash", similar(F.col("text"), F.col("source")).alias("ok")).where("ok").distinct(), "alike")
         found = found.union(alike.select("text_hash", "source_hash"))
-        # Those alike to none of their group's sources meet again, without the sources.
-        linked = pairs.join(alike, ["text_hash", "source_hash"], "left").groupBy("group", "text_hash", "n", "root")
-        left = linked.agg(F.max(F.coalesce("ok", F.lit(False)) | (F.col("root") == F.col("source_root"))).alias("ok"))
-        was = sources.select("group", F.col("source_text_hash").alias("text_hash"))
-        members = left.where("not ok").drop("ok").join(was, ["group", "text_hash"], "left_anti")
-        most *= 2
+        # Those unlike their group's source meet again, without it, where they share one more least hash.
+        left = pairs.where("root <> source_root").join(alike, ["text_hash", "source_hash"], "left_anti").select("text_hash", "n", "root", "band", "group")
+        at = F.pmod((F.col("band") + 1) * ROWS + turn, F.lit(BANDS * ROWS)) + 1
+        more = left.join(only.select("text_hash", "least"), "text_hash").withColumn("group", F.xxhash64("group", F.element_at("least", at)))
+        members, turn = more.drop("least"), turn + 1
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
