@@ -4,7 +4,7 @@ Besides what ``simhash`` links, documents whose sets of five-word shingles have
 ``SIMILARITY`` or more are linked. Candidates share one of ``BANDS`` bands of ``ROWS`` least hashes
 each, which a pair at similarity 0.8 misses with probability 0.0004. Each band's first document (by
 text hash) is compared with the other members on their whole sets; members that it isn't like are grouped anew by one
-more least hash, which documents at similarity 0.8 share four times in five, and so on until each is alone. So many like
+more least hash, which documents at similarity 0.8 share four times in five, then by two more, four and so on until each is alone. So many like
 documents give a pair each, and many unlike ones that share a passage fall apart in a few rounds, not pair by pair.
 
 A document that is like one linked already, but not like that one's source, has the other bands to meet it.
@@ -82,7 +82,7 @@ def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
     only = written(signed.join(firsts, "whole").where("text_hash = first").dropDuplicates(["text_hash"]).drop("whole", "first"), "distinct")
     named_groups = only.drop("least").join(groups, "text_hash")
     members = named_groups.select("text_hash", "n", "root", F.posexplode("bands").alias("band", "group"))
-    texts, turn = None, 0
+    texts, used, more = None, 0, 1  # least hashes that groups share besides their band's, and those of the next round
     while True:
         members = written(members, "members")
         sources = members.groupBy("group").agg(F.min(F.struct("text_hash", "n", "root")).alias("s"), F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z")
@@ -99,11 +99,12 @@ def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
         both = asked.join(texts, "text_hash").join(texts.select(F.col("text_hash").alias("source_hash"), F.col("text").alias("source")), "source_hash")
         alike = written(both.select("text_hash", "source_hash", similar(F.col("text"), F.col("source")).alias("ok")).where("ok").distinct(), "alike")
         found = found.union(alike.select("text_hash", "source_hash"))
-        # Those unlike their group's source meet again, without it, where they share one more least hash.
+        # Those unlike their group's source meet again, without it, where they share more least hashes.
         left = pairs.where("root <> source_root").join(alike, ["text_hash", "source_hash"], "left_anti").select("text_hash", "n", "root", "band", "group")
-        at = F.pmod((F.col("band") + 1) * ROWS + turn, F.lit(BANDS * ROWS)) + 1
-        more = left.join(only.select("text_hash", "least"), "text_hash").withColumn("group", F.xxhash64("group", F.element_at("least", at)))
-        members, turn = more.drop("least"), turn + 1
+        at = lambda k: F.pmod((F.col("band") + 1) * ROWS + k, F.lit(BANDS * ROWS)) + 1
+        finer = F.xxhash64("group", *(F.element_at("least", at(k)) for k in range(used, min(used + more, BANDS * ROWS))))
+        members = left.join(only.select("text_hash", "least"), "text_hash").withColumn("group", finer).drop("least")
+        used, more = used + more, 2 * more
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
