@@ -91,7 +91,7 @@ def without(text: Column, spans: Column) -> Column:
         release()
         return left
 
-    return cut(text, spans)
+    return cut.asNondeterministic()(text, spans)  # else a filter on the result runs it, in another worker, once more
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -70,7 +70,7 @@ def similar(text, source):
         release()
         return pa.array(out, pa.bool_())
 
-    return alike(text, source)
+    return alike.asNondeterministic()(text, source)  # else a filter on the result runs it, in another worker, once more
 
 
 def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
