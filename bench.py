@@ -94,7 +94,7 @@ def main() -> None:
         from lexspark.llm import queries as llm
     except ImportError:  # the library works without this subpackage
         llm = None
-    for name in ("op4_quality_rules", "op5_simhash", "op6_line_dedup", "op2_packing") if llm else ():
+    for name in sorted(llm.QUERIES) if llm else ():
         took[name] = timed(lambda name=name: noop(llm.QUERIES[name](spark, sf_dir)))
     spark.stop()
     shutil.rmtree(warehouse, ignore_errors=True)
