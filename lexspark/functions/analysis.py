@@ -9,6 +9,7 @@ import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
 _CHARS = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 TOKENS = "array<struct<term:string,position:int>>"
+SPANS = "array<struct<term:string,position:int,start_offset:int,end_offset:int>>"
 
 
 @dataclass(frozen=True)
@@ -43,9 +45,24 @@ class Analyzer:
         """array(struct(term, position)) of a non-null text; by default through the Python twin."""
         analyze = self.analyze
 
-        @F.udf(TOKENS)
-        def run(value: str | None):
-            return None if value is None else [(t.term, t.position) for t in analyze(value)]
+        @F.arrow_udf(TOKENS)
+        def run(values: pa.Array) -> pa.Array:
+            kind = pa.list_(pa.struct([("term", pa.string()), ("position", pa.int32())]))
+            return pa.array([None if v is None else [{"term": t.term, "position": t.position} for t in analyze(v)] for v in values.to_pylist()], kind)
+
+        return run(text)
+
+    def spans(self, text: Column) -> Column:
+        """array(struct(term, position, start_offset, end_offset)) of a text, offsets in its UTF-8 bytes.
+
+        A running sum over tokens has no built-in form that is linear in the text, so this goes through the Python twin; an index doesn't store offsets.
+        """
+        analyze = self.analyze
+
+        @F.arrow_udf(SPANS)
+        def run(values: pa.Array) -> pa.Array:
+            kind = pa.list_(pa.struct([("term", pa.string()), *((c, pa.int32()) for c in ("position", "start_offset", "end_offset"))]))
+            return pa.array([None if v is None else [vars(t) for t in analyze(v)] for v in values.to_pylist()], kind)
 
         return run(text)
 

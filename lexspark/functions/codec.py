@@ -81,6 +81,17 @@ def encoded_positions(positions: Column) -> Column:
     return run(positions)
 
 
+def decoded_positions(data: Column, count: Column) -> Column:
+    """The positions of ``encoded_positions``; a CodecError fails the query."""
+
+    @F.arrow_udf("array<int>")
+    def run(values: pa.Array, counts: pa.Array) -> pa.Array:
+        rows = zip(values.to_pylist(), counts.to_pylist())
+        return pa.array([None if v is None else [x - 1 for x in decode_deltas(v, n)] for v, n in rows], pa.list_(pa.int32()))
+
+    return run(data, count)
+
+
 def fnv1a64(data: bytes) -> int:
     value = 0xCBF29CE484222325
     for byte in data:

@@ -10,19 +10,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracle
-from .functions.analysis import KeywordAnalyzer, StandardAnalyzer
+from .functions.analysis import FunctionAnalyzer, KeywordAnalyzer, StandardAnalyzer, from_descriptor
+from .functions.codec import decoded_positions, encoded_positions
 from .functions.ranking import Bm25
-from .operators.evaluation import evaluate
+from .operators.evaluation import evaluate, macro_average
 from .operators.index import IndexView, build_index, latest, rejections
-from .operators.search import batch_search, explain, free_text, options_for, search
+from .operators.search import ResultCache, batch_search, explain, free_text, options_for, search
 from .operators.sharding import read_replica, routed, shard_top_k
 from .oracle import A, M, N, O, P, R, T
 from .plans.planner import PlanOptions
 from .schema import Field, FieldType, IndexSchema
-from .sources.documents import mutations_of, synthetic
+from .sources.documents import json_result, mutations_of, read_documents, synthetic, write_documents
 from .sources.files import scratch
 from .sources.segments import IndexWriter, merged, open_segment, write_segment
 from .streaming.ingest import OrderedReplica
+from .streaming.replication import MutationLog, gaps
 
 STOP = ("the", "of", "a")
 
@@ -388,13 +390,109 @@ eval_reciprocal_rank = _evaluated("reciprocal_rank")
 eval_ndcg = _evaluated("ndcg")
 
 
+def document_file(spark, sf_dir):
+    """The documents written as escaped text and read again."""
+    p = PROFILES["documents"]
+    path = f"{scratch(spark)}/files-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/{p.table}.parquet")
+    write_documents(mutations_of(docs, F.col("doc_id"), {"title": F.col("lang"), "body": F.col("text"), "tags": F.col("source")}, {"timestamp": F.col("n_chars")}, version=F.col("doc_id") + 1), path)
+    field = lambda column, key: F.element_at(column, F.lit(key))
+    return read_documents(spark, path).select("doc_id", "version", "deleted", *(field("fields", c).alias(c) for c in ("title", "body", "tags")), field("stored_metadata", "timestamp").alias("timestamp"))
+
+
+def token_offsets(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.inline(StandardAnalyzer().spans(F.col("text"))))
+
+
+def custom_analyzer(spark, sf_dir):
+    """An index whose analysis is a user's function: what lies between spaces."""
+    words = FunctionAnalyzer(lambda text: [(w, k) for k, w in enumerate(text.split(" ")) if w])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    index = build_index(mutations_of(docs, F.col("doc_id"), {"body": F.col("text")}), IndexSchema([Field("body", FieldType.TEXT, analyzer=words)]))
+    return index.postings.select("doc_id", "term", "tf", "dl", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+
+
+def rebuilt_analyzer(spark, sf_dir):
+    """An analyzer found again by its descriptor."""
+    analyzer = from_descriptor(StandardAnalyzer(STOP).descriptor)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.inline(analyzer.column(F.col("text"))))
+
+
+def varbyte_positions(spark, sf_dir):
+    """Each posting's positions in variable bytes: how many, and what they are read back as."""
+    p = index_for(spark, sf_dir, "documents").lookup("body", "that").withColumn("data", encoded_positions(F.col("positions")))
+    again = F.transform(decoded_positions(F.col("data"), F.col("tf")), lambda x: x.cast("string"))
+    return p.select("doc_id", F.length("data").cast("bigint").alias("n_bytes"), F.array_join(again, ",").alias("positions"))
+
+
+def explain_tree(spark, sf_dir):
+    """Every node of a plan for one document: what matches, with what score."""
+    index = index_for(spark, sf_dir, "documents")
+    rows = explain(index, 'body:"of the" OR (lang:en AND NOT body:that)', "1")
+    return rows.select("node", "parent", "node_type", "matched", F.round("score", 9).alias("score"))
+
+
+def json_hits(spark, sf_dir):
+    """The ten best as the line of JSON that the command line prints, read back."""
+    index = index_for(spark, sf_dir, "documents")
+    line = json_result(search(index, "body:that AND lang:en", 10), index.live_count, index.docs)
+    kind = "indexed_documents bigint, total_hits bigint, hits array<struct<document_id:string,score:double,fields:map<string,string>>>"
+    found = spark.createDataFrame([(line,)], "line string").select(F.from_json("line", kind).alias("j")).select("j.indexed_documents", "j.total_hits", F.explode("j.hits").alias("h"))
+    return found.select("indexed_documents", "total_hits", "h.document_id", F.round("h.score", 9).alias("score"), F.element_at("h.fields", F.lit("body")).alias("body"))
+
+
+def cached_hits(spark, sf_dir):
+    """A search asked twice, the second time from the cache."""
+    index, cache = index_for(spark, sf_dir, "documents"), ResultCache(1 << 20)
+    cache.search(index, "body:that OR lang:de", 20)
+    best, total = cache.search(index, "body:that OR lang:de", 20)
+    return _rounded(spark.createDataFrame([(d, x, total, cache.hits, cache.misses) for d, x in best], "doc_id string, score double, total_hits bigint, cache_hits bigint, cache_misses bigint"))
+
+
+def _user_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as replicated records; a shard for each user."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint")
+    return events.select((F.col("user_id") + 1).alias("shard"), F.lit(1).cast("bigint").alias("epoch"), F.concat(F.lit("op-"), F.col("event_id").cast("string")).alias("operation_id"), number.alias("sequence"), F.col("event_type").alias("payload"), "event_id")
+
+
+def mutation_log_replay(spark, sf_dir):
+    """One shard's records, appended in two parts, the later ones first, and replayed."""
+    log = MutationLog(spark, f"{scratch(spark)}/log-{uuid.uuid4().hex}", 2, 1)
+    rows = _user_records(spark, sf_dir).where("shard = 2")
+    log.append(rows.where("event_id % 2 = 1"))
+    log.append(rows.where("event_id % 2 = 0"))
+    return log.replay().select("sequence", "operation_id", "payload")
+
+
+def replication_gaps(spark, sf_dir):
+    """Where each shard's log jumps once the errors are lost."""
+    return gaps(_user_records(spark, sf_dir).where("payload <> 'error'"))
+
+
+def eval_macro(spark, sf_dir):
+    """Means over languages of the whole lists' metrics."""
+    return macro_average(_metrics(spark, sf_dir)).select(*(F.round(c, 9).alias(c) for c in ("precision", "recall", "average_precision", "reciprocal_rank", "ndcg")))
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
+    ranked = docs.select(F.col("lang").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), F.row_number().over(order).alias("rank"))
+    judged = docs.join(labels, "doc_id").select(F.col("lang").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), (F.col("quality") + F.col("toxic")).alias("grade"))
+    return evaluate(ranked, judged, 10)
+
+
 def synthetic_corpus(spark, sf_dir):
     return synthetic(spark, 5000).select("doc_id", F.size(F.split(F.element_at("fields", "body"), " ")).cast("bigint").alias("words"))
 
 
 _names = """topk_ties topk_zero_total_hits total_hits bm25_parameters_b0 analyze_tokens analyze_stopwords_positions postings_build term_stats field_stats doc_value_lookup live_documents
 index_invariants explain_terms latest_version_resolution tombstone_resolution stale_rejections schema_rejections segment_merge_equivalence shard_topk_merge shard_routing replica_routing
-ordered_apply batch_search_topk batch_search_benchmark generation_term generation_phrase generation_bool compacted_segment lookup_postings ranked_hits eval_precision_recall eval_average_precision eval_reciprocal_rank eval_ndcg synthetic_corpus""".split()
+ordered_apply batch_search_topk batch_search_benchmark generation_term generation_phrase generation_bool compacted_segment lookup_postings ranked_hits eval_precision_recall eval_average_precision eval_reciprocal_rank eval_ndcg synthetic_corpus
+document_file token_offsets custom_analyzer rebuilt_analyzer varbyte_positions explain_tree json_hits cached_hits mutation_log_replay replication_gaps eval_macro""".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{n: _search(n) for n in SEARCHES}, **{n: globals()[n] for n in _names}}
 
 _tok = PROFILES["documents"].base
@@ -413,6 +511,10 @@ ideal as (select b.query_id, sum((grade <> 0)::int)::double as relevant, sum(cas
 select ids.query_id, {0} from ids left join per using (query_id) left join ideal using (query_id)"""
 
 
+#: What lies before a token, and the token.
+_GAP = "([^0-9a-z\\x{80}-\\x{10FFFF}]*)([0-9a-z\\x{80}-\\x{10FFFF}]+)"
+
+
 def _ratio(a: str, b: str, name: str) -> str:
     return f"round(case when coalesce({b}, 0) > 0 then coalesce({a}, 0) / {b} else 0e0 end, 9) as {name}"
 
@@ -478,5 +580,39 @@ select query_id, doc_id, score, (row_number() over (partition by query_id order
     "eval_reciprocal_rank": _judged.replace("{0}", "round(coalesce(1e0 / first, 0e0), 9) as reciprocal_rank"),
     "eval_ndcg": _judged.replace("{0}", _ratio("dcg", "ideal", "ndcg")),
     "synthetic_corpus": "select concat('doc-', range) as doc_id, 20::bigint as words from range(5000)",
+    "document_file": "select doc_id::varchar as doc_id, (doc_id + 1)::bigint as version, false as deleted, coalesce(lang, '') as title, coalesce(text, '') as body, coalesce(source, '') as tags, coalesce(n_chars::varchar, '') as timestamp from documents",
+    "token_offsets": f"""with d as (select doc_id::varchar as doc_id, translate(text, '{oracle.UPPER}', '{oracle.LOWER}') as t from documents where text is not null),
+g as (select doc_id, unnest(regexp_extract_all(t, '{_GAP}', 1)) as gap, unnest(regexp_extract_all(t, '{_GAP}', 2)) as term, unnest(range(len(regexp_extract_all(t, '{_GAP}', 2))))::int as position from d),
+e as (select *, (sum(strlen(gap) + strlen(term)) over (partition by doc_id order by position))::int as end_offset from g)
+select doc_id, term, position, (end_offset - strlen(term))::int as start_offset, end_offset from e""",
+    "custom_analyzer": """with w as (select doc_id::varchar as doc_id, unnest(string_split(text, ' ')) as term, generate_subscripts(string_split(text, ' '), 1) - 1 as pos from documents where text is not null),
+k as (select *, count(*) over (partition by doc_id) as dl from w where term <> '')
+select doc_id, term, count(*)::int as tf, max(dl)::int as dl, string_agg(pos::varchar, ',' order by pos) as positions from k group by doc_id, term""",
+    "rebuilt_analyzer": f"{PROFILES['stopped'].base}\nselect doc_id, term, pos as position from tok where field = 'body'",
+    "varbyte_positions": f"""{_tok}, p as (select doc_id, pos, pos - coalesce(lag(pos) over (partition by doc_id order by pos), -1) as delta from tok where field = 'body' and term = 'that')
+select doc_id, sum(case when delta < 128 then 1 when delta < 16384 then 2 when delta < 2097152 then 3 else 4 end)::bigint as n_bytes, string_agg(pos::varchar, ',' order by pos) as positions from p group by doc_id""",
+    "explain_tree": f"""{_tok},
+asked(node, parent, field, term) as (values ('0.0.0', '0.0', 'lang', 'en'), ('0.0.1.0', '0.0.1', 'body', 'that'), ('0.1.0', '0.1', 'body', 'of'), ('0.1.1', '0.1', 'body', 'the')),
+x as (select a.*, fs.n_docs, fs.avg_len, (select dl from lens where doc_id = '1' and field = a.field) as dl, (select count(distinct doc_id) from tok where field = a.field and term = a.term) as df,
+  (select count(*) from tok where field = a.field and term = a.term and doc_id = '1') as tf from asked a join fs using (field)),
+t as (select node, parent, tf > 0 as matched, case when tf > 0 then ln(1e0 + (n_docs - df + 0.5e0) / (df + 0.5e0)) * (tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avg_len))) else 0e0 end as score from x),
+p as (select exists (select 1 from tok a join tok b on a.doc_id = b.doc_id and a.field = b.field and b.pos = a.pos + 1 where a.doc_id = '1' and a.field = 'body' and a.term = 'of' and b.term = 'the') as matched, (select sum(score) from t where parent = '0.1') as score),
+n as (select not matched as matched from t where node = '0.0.1.0'),
+a as (select t.matched and n.matched as matched, t.score from t, n where t.node = '0.0.0'),
+every as (
+  select node, parent, 'term' as node_type, matched, score from t
+  union all select '0.1', '0', 'phrase', matched, case when matched then score else 0e0 end from p
+  union all select '0.0.1', '0.0', 'not', matched, 0e0 from n
+  union all select '0.0', '0', 'and', matched, case when matched then score else 0e0 end from a
+  union all select '0', null, 'or', a.matched or p.matched, case when a.matched then a.score else 0e0 end + case when p.matched then p.score else 0e0 end from a, p)
+select node, parent, node_type, matched, round(score, 9) as score from every""",
+    "json_hits": f"""{_hits_sql('documents', A(T('body', 'that'), T('lang', 'en')))}
+select (select count(*) from documents)::bigint as indexed_documents, (select count(*) from hits)::bigint as total_hits, doc_id as document_id, score, text as body
+from hits join (select doc_id::varchar as doc_id, text from documents) d using (doc_id) order by score desc, doc_id limit 10""",
+    "cached_hits": f"{_hits_sql('documents', O(T('body', 'that'), T('lang', 'de')))}\nselect doc_id, score, (select count(*) from hits)::bigint as total_hits, 1::bigint as cache_hits, 1::bigint as cache_misses from hits order by score desc, doc_id limit 20",
+    "mutation_log_replay": "select row_number() over (order by event_id) as sequence, concat('op-', event_id) as operation_id, event_type as payload from events where user_id = 1",
+    "replication_gaps": """with r as (select user_id + 1 as shard, row_number() over (partition by user_id order by event_id) as sequence, event_type from events),
+k as (select shard, sequence, coalesce(lag(sequence) over (partition by shard order by sequence), 0) as previous from r where event_type <> 'error')
+select shard, sequence, previous from k where sequence <> previous + 1""",
+    "eval_macro": "with m as (" + _judged.replace(" qualify rank <= 50", "").replace("{0}", ", ".join(["coalesce(hit, 0) / 10e0 as precision", _ratio("hit", "relevant", "recall"), _ratio("ap", "relevant", "average_precision"), "coalesce(1e0 / first, 0e0) as reciprocal_rank", _ratio("dcg", "ideal", "ndcg")])) + ") select round(avg(precision), 9) as precision, round(avg(recall), 9) as recall, round(avg(average_precision), 9) as average_precision, round(avg(reciprocal_rank), 9) as reciprocal_rank, round(avg(ndcg), 9) as ndcg from m",
 }
-

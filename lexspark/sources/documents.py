@@ -6,7 +6,7 @@ escaped. Errors name the first bad line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .files import Files
@@ -38,7 +38,7 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     parts = F.split("value", "\t", -1)
     rows = lines.where("value <> ''").select("line", parts.alias("p"), "value")
     at = lambda k: F.get("p", F.lit(k))
-    bad_escape = F.col("value").rlike(r"(?s)^(?:[^\\]|\\[tnr\\])*\\(?![tnr\\])")
+    bad_escape = F.replace("value", F.lit("\\\\"), F.lit("")).rlike(r"\\(?![tnr])")  # a loop over the whole line would overflow the stack
     version = F.when(at(1).rlike("^[0-9]+$"), at(1).try_cast("bigint"))
     code = (
         F.when(bad_escape, "invalid_escape")
@@ -59,18 +59,53 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+#: Splits of files whose first line numbers are broadcast; a split has 128 MB by default.
+MOST_SPLITS = 500_000
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): the lines of each file, from 1.
+
+    Spark reads a file in splits, whose rows are counted first. A line's number is that of the lines in the splits before
+    its own and in its own before it, so no task reads more than its share.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within the task, which reads a split in one run
+    lines = spark.read.text(path, lineSep="\n").select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), row.alias("row"), "value")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("row").alias("first")).select("file", "block", (before - F.col("first") + 1).alias("from")).persist()
+    few = splits.count() <= MOST_SPLITS
+    return lines.join(F.broadcast(splits) if few else splits, ["file", "block"]).select((F.col("row") + F.col("from")).alias("line"), "value")
+
+
+def escaped(value: Column) -> Column:
+    """The inverse of ``unescaped``; null as an empty value."""
+    for sign, meant in (("\\\\", "\\"), ("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
+        value = F.replace(value, F.lit(meant), F.lit(sign))
+    return F.coalesce(value, F.lit(""))
+
+
+def write_documents(rows: DataFrame, path: str) -> None:
+    """Mutations as a folder of document files, a header in each; with no rows, there is one of a header alone."""
+    of = lambda column, key: F.try_element_at(column, F.lit(key))
+    values = [F.col("doc_id"), F.col("version").cast("string"), F.col("deleted").cast("int").cast("string"), *(of("fields", c) for c in COLUMNS[3:6]), of("stored_metadata", "timestamp")]
+    header = "\t".join(COLUMNS) + "\n"
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of the task, which writes a file
+    lines = rows.select(F.concat_ws("\t", *map(escaped, values)).alias("line")).select(F.concat(F.when(first, header).otherwise(""), "line").alias("value"))
+    lines.write.option("maxRecordsPerFile", 0).text(path, lineSep="\n")
+    Files(rows.sparkSession).write(f"{path}/header.tsv", header)
+
+
 def read_documents(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Mutations of a text file, ``seq`` its lines. ``strict``: the first bad line is an error;
     else bad lines are left out (see ``parsed_lines`` for a report).
 
-    A file is one stream of numbered lines, so it is read in one piece; large sets of
-    documents belong in Parquet.
+    A path may name one file or a folder of them; each has a header and lines of its own. Files are read split by split.
     """
     if not Files(spark).exists(path):
         raise DocumentFileError("open_failed", 0, f"can't open {path}")
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n", -1)).alias("line", "value")).select((F.col("line") + 1).cast("bigint").alias("line"), "value")
-    header = whole.where("line = 1").first()
-    if header is None or header["value"] != "\t".join(COLUMNS):
+    whole = numbered_lines(spark, path)
+    firsts = whole.where("line = 1").select((F.col("value") == "\t".join(COLUMNS)).alias("ok")).distinct().collect()
+    if [r["ok"] for r in firsts] != [True]:
         raise DocumentFileError("invalid_header", 1, "the header isn't that of a document file")
     rows = parsed_lines(whole.where("line > 1"))
     if strict:
@@ -124,6 +159,14 @@ def cranfield_documents(spark: SparkSession, path: str) -> DataFrame:
     return mutations_of(rows.where(number != ""), number, {"title": part("T"), "body": part("W")})
 
 
+def cranfield_queries(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, text) of a Cranfield-style file of queries (.I, .W): judgments know a query by its place in the file, from 1."""
+    rows = spark.read.text(path, lineSep="\n.I ", wholetext=False).coalesce(1)  # a collection has some hundred queries
+    text = F.trim(F.regexp_replace(F.regexp_extract(F.concat(F.lit("\n"), F.col("value")), r"(?s)\n\.W[ \t]*\n(.*?)(?=\n\.[A-Z]|$)", 1), r"\s+", " "))
+    found = rows.where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("k"), text.alias("text"))
+    return found.select((F.col("k") + 1).cast("string").alias("query_id"), "text")
+
+
 def cranfield_judgments(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, doc_id, grade): codes 1 to 4 are grades 4 to 1, -1 is zero."""
     parts = F.split(F.trim("value"), r"\s+")

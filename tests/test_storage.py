@@ -4,13 +4,15 @@ import gc
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexspark import cli
+from lexspark.functions.analysis import StandardAnalyzer
 from lexspark.functions.codec import fnv1a64, shard_of
 from lexspark.operators.index import MUTATION, build_index
 from lexspark.operators.search import search
 from lexspark.schema import IndexSchema
-from lexspark.sources.documents import COLUMNS, DocumentFileError, cranfield_documents, cranfield_judgments, json_result, read_documents
+from lexspark.sources.documents import COLUMNS, DocumentFileError, cranfield_documents, cranfield_judgments, cranfield_queries, json_result, read_documents, write_documents
 from lexspark.sources.segments import IndexWriter, Manifest, ManifestStore, StorageError, WriterOptions, merged, open_segment, write_segment
 from lexspark.streaming.ingest import OrderedReplica, start_ingest
 from lexspark.streaming.replication import RECORD, MutationLog, ReplicationError
@@ -195,6 +197,33 @@ def test_document_file_errors(spark, tmp_path, line, code):
         assert e.value.code == code
 
 
+def test_document_file_in_splits(spark, tmp_path):
+    """Line numbers hold over splits and files; long lines and all escapes come back."""
+    lines = [f"d{k}\t1\t0\t\t{'x' * (k % 97)}\t\t" if k % 5 else "" for k in range(2000)]
+    path = write_tsv(tmp_path / "d.tsv", *lines)
+    bytes_a_split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = {r.doc_id: r.seq for r in read_documents(spark, path).collect()}
+        assert spark.read.text(path).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_a_split)
+    assert got == {f"d{k}": k + 2 for k in range(2000) if k % 5}
+    body = "a\\b\\\\n\tc\nd\re \0 \" ' " + "long \\ " * 20000
+    rows = [("d1", 3, False, {"title": "", "body": body}, {"timestamp": "t"}, 0), (" é\t2 ", 1, True, {}, {}, 1), ("\"q\"", 1, False, {"tags": '"'}, {}, 2)]
+    write_documents(spark.createDataFrame(rows, "doc_id string, version long, deleted boolean, fields map<string,string>, stored_metadata map<string,string>, seq long").repartition(3), str(tmp_path / "w"))
+    back = {r.doc_id: (r.version, r.deleted, r.fields["title"], r.fields["body"], r.fields["tags"], r.stored_metadata["timestamp"]) for r in read_documents(spark, str(tmp_path / "w")).collect()}
+    write_documents(spark.createDataFrame([], MUTATION), str(tmp_path / "none"))
+    assert read_documents(spark, str(tmp_path / "none")).count() == 0
+    assert back == {d: (v, x, f.get("title", ""), f.get("body", ""), f.get("tags", ""), m.get("timestamp", "")) for d, v, x, f, m, _ in rows}
+
+
+def test_token_offsets(spark):
+    text = "Äa, B-c é\U0001d518 x"
+    (row,) = spark.createDataFrame([(text,), (None,)], "t string").select(StandardAnalyzer(["b"]).spans(F.col("t")).alias("s")).where("s is not null").collect()
+    assert [(s.term, s.position, text.encode()[s.start_offset : s.end_offset].decode().lower()) for s in row.s] == [("Äa", 0, "äa"), ("c", 2, "c"), ("é\U0001d518", 3, "é\U0001d518"), ("x", 4, "x")]
+
+
 def test_json_result(spark):
     index = build_index(frame(spark, HAND), SCHEMA)
     found = json.loads(json_result(search(index, "search", 1), index.live_count, index.docs))
@@ -206,6 +235,8 @@ def test_cranfield(spark, tmp_path):
     (tmp_path / "c").write_text(".I 1\n.T\nfirst title\n.A\nx\n.W\nbody\nof one\n.I 002\n.T\nsecond\n.W\nbody two\n")
     rows = {r.doc_id: r.fields for r in cranfield_documents(spark, str(tmp_path / "c")).collect()}
     assert rows == {"1": {"title": "first title", "body": "body of one"}, "2": {"title": "second", "body": "body two"}}
+    (tmp_path / "i").write_text(".I 001\n.W\nwhat is\nlift\n.I 004\n.W\ndrag ?\n")
+    assert [tuple(r) for r in cranfield_queries(spark, str(tmp_path / "i")).orderBy("query_id").collect()] == [("1", "what is lift"), ("2", "drag ?")]
     (tmp_path / "q").write_text("1 184 2\n1 29 -1\n\n2 007 4\n")
     assert {tuple(r) for r in cranfield_judgments(spark, str(tmp_path / "q")).collect()} == {("1", "184", 3), ("1", "29", 0), ("2", "7", 1)}
 
