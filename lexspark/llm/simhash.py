@@ -38,6 +38,8 @@ RADIUS = 3
 SHARD = 4096
 #: Expected fingerprints in a bucket, beyond which the blocks get finer.
 BUCKET = 64
+#: A fingerprint of more than this part of all rows is hot.
+HOT = 1000
 
 
 def shingle_hashes(text: str | None, size: int = 3) -> np.ndarray:
@@ -185,21 +187,39 @@ def links(distinct: DataFrame, count: int, shard: int = SHARD) -> DataFrame:
     return sorted_rows.mapInArrow(_tree_links, "u long, v long")
 
 
+def _prints(docs: DataFrame, size: int) -> DataFrame:
+    return written(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), fingerprint(F.col("text"), size).alias("fp")), "simhash")
+
+
+def _classes(prints: DataFrame, shard: int) -> DataFrame:
+    """(fp, root, first, n) of each distinct fingerprint: the least one that links reach, its own least id, its rows."""
+    counted = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
+    reached = connected_components(links(counted.select("fp"), counted.count(), shard))
+    return counted.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), "first", "n")
+
+
 def rooted(docs: DataFrame, size: int = 3, shard: int = SHARD) -> DataFrame:
     """(doc_id, text_hash, fp, root) for each row of ``docs``: root is the least fingerprint that links reach, null without an id."""
-    prints = written(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), fingerprint(F.col("text"), size).alias("fp")), "simhash")
-    distinct = written(prints.where("doc_id is not null").select("fp").distinct(), "classes")
-    reached = connected_components(links(distinct, distinct.count(), shard))
-    roots = distinct.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
-    found = prints.join(roots, "fp", "left")
+    prints = _prints(docs, size)
+    found = prints.join(_classes(prints, shard).select("fp", "root"), "fp", "left")
     return found.select("doc_id", "text_hash", "fp", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("root"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, shard: int = SHARD) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of ``docs``."""
-    found = written(rooted(docs, size, shard), "rooted")
-    firsts = found.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(firsts, "root", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    """(doc_id, fingerprint, component_id) for each row of ``docs``.
+
+    Components get their least ids among distinct fingerprints, so rows meet them in one join. Fingerprints of more than
+    one row in ``HOT``, which are fewer than ``HOT``, meet their rows by a broadcast; the others share a shuffle evenly.
+    """
+    prints = _prints(docs, size).select("doc_id", "fp")
+    classes = _classes(prints, shard)
+    firsts = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = written(classes.join(firsts, "root").select("fp", "component_id", "n"), "named")
+    least = (named.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = prints.join(F.broadcast(named.where(F.col("n") > least).select("fp", F.col("component_id").alias("hot_id"))), "fp", "left")
+    cold = hot.where("hot_id is null").drop("hot_id").join(named.where(F.col("n") <= least).drop("n"), "fp", "left")
+    found = cold.unionByName(hot.where("hot_id is not null").withColumnRenamed("hot_id", "component_id"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
