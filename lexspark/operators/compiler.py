@@ -71,7 +71,7 @@ class Compiler:
 
     def rows(self, postings: DataFrame | None = None) -> DataFrame:
         """(doc_id, leaves): one row for each document that has a leaf."""
-        found = (self.index.postings if postings is None else postings).where(self.index.matching(self.leaves))
+        found = self.index.found(self.leaves) if postings is None else postings.where(self.index.matching(self.leaves))
         is_leaf = lambda leaf: (F.col("field") == leaf[0]) & (F.col("term") == leaf[1])
         if self.wide:
             number = F.element_at(F.create_map(*(F.lit(x) for (f, t), k in self.number.items() for x in (f"{len(f)}:{f}{t}", k))), F.concat(F.length("field").cast("string"), F.lit(":"), "field", "term"))
