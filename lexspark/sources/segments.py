@@ -1,8 +1,8 @@
 """Stored indexes: immutable segments, generations that name them, and a writer.
 
 A segment is a folder with three Parquet tables (docs, lengths, postings) and a description that is
-written last. Postings are range-partitioned and sorted by (field, term), so a query's
-terms prune row groups. A manifest lists a generation's segments; the file CURRENT names the generation and is
+written last. Each file of postings holds some documents' and is sorted by (field, term), so a query's
+terms prune row groups and pages; no term's postings meet in one task. A manifest lists a generation's segments; the file CURRENT names the generation and is
 replaced in one rename, so readers see the old index or the new one. Files go through Hadoop's file systems.
 """
 
@@ -22,7 +22,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.index import IndexView, analyzed, index_of, latest, postings_of, rejections
+from ..operators.index import IndexView, index_of, latest, rejections
 from ..schema import IndexSchema
 from .files import Files
 
@@ -34,6 +34,9 @@ SCHEMAS = {
     "postings": "field string, term string, doc_id string, tf int, dl int, positions array<int>",
 }
 
+#: Bytes of a row group of postings.
+BLOCK = 16 << 20
+
 
 class StorageError(ValueError):
     def __init__(self, code: str, message: str):
@@ -49,9 +52,14 @@ def write_segment(index: IndexView, path: str, segment_id: int) -> dict:
     if files.exists(f"{path}/segment.json"):
         raise StorageError("segment_exists", f"a segment is there already: {path}")
     index.docs.select(*(c.split()[0] for c in SCHEMAS["docs"].split(", "))).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/docs")
-    index.lengths.select("doc_id", "field", "dl").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/lengths")
-    by_term = index.postings.select("field", "term", "doc_id", "tf", "dl", "positions").repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
-    by_term.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+    if index.derived:  # of the documents that are stored now, so that they aren't resolved again
+        stored = index_of(spark.read.schema(SCHEMAS["docs"]).parquet(f"{path}/docs"), index.schema)
+        lengths, postings = stored.lengths, stored.postings
+    else:
+        lengths, postings = index.lengths, index.postings
+    lengths.select("doc_id", "field", "dl").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/lengths")
+    by_term = postings.select("field", "term", "doc_id", "tf", "dl", "positions").sortWithinPartitions("field", "term", "doc_id")
+    by_term.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", BLOCK).parquet(f"{path}/postings")
     description = {"id": segment_id, "schema": index.schema.as_dict(), "fingerprint": index.schema.fingerprint, "sums": _sums(spark, path), "bytes": files.size(path)}
     files.write(f"{path}/segment.json", json.dumps(description, sort_keys=True))
     return description
@@ -339,5 +347,4 @@ class IndexWriter:
 
 def rebuilt(index: IndexView) -> IndexView:
     """The same documents, analyzed again: equal to ``index`` where it is sound."""
-    fields = analyzed(index.docs, index.schema)
-    return IndexView(index.schema, index.docs, fields.select("doc_id", "field", "dl"), postings_of(fields))
+    return index_of(index.docs, index.schema)
