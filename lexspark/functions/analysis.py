@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Bytes of terms in lower case, all others as spaces.
+_SPACED = bytes(b if _BYTES.match(bytes([b])) else 32 for b in bytes(range(256)).lower())
 _CHARS = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 TOKENS = "array<struct<term:string,position:int>>"
 SPANS = "array<struct<term:string,position:int,start_offset:int,end_offset:int>>"
@@ -108,7 +110,7 @@ class StandardAnalyzer(Analyzer):
         return [t for t in found if t.term not in self.stop_words]
 
     def terms(self, raw: bytes) -> tuple[list[bytes], list[int] | None]:
-        found = _BYTES.findall(raw.lower())
+        found = raw.translate(_SPACED).split()
         if not self.stop_words:
             return found, None
         stop = {w.encode("utf-8", "surrogateescape") for w in self.stop_words}

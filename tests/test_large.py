@@ -6,9 +6,9 @@ import pyarrow as pa
 
 from lexspark import queries
 from lexspark.functions.analysis import SPANS, FunctionAnalyzer, StandardAnalyzer, _tokens_column
-from lexspark.operators.index import MUTATION, build_index, latest
-from lexspark.operators.search import search
-from lexspark.schema import IndexSchema
+from lexspark.operators.index import MUTATION, IndexView, build_index, counts_of, latest
+from lexspark.operators.search import batch_search, search
+from lexspark.schema import Field, FieldType, IndexSchema
 from lexspark.sources.segments import write_segment
 
 ROWS = [(f"d{k}", 1, False, {"title": "same", "body": f"same word{k} é same"}, {}, k) for k in range(64)]
@@ -67,3 +67,50 @@ def test_a_shard_is_folded_in_ranges(spark, small, monkeypatch):
     monkeypatch.setattr(queries, "EVENT_RANGE", 100)
     got = queries.ordered_apply(spark, small)
     assert {tuple(r) for r in got.collect()} == want and "range" in plan_of(got)
+
+
+BATCH = {"a": "body:same OR body:word7 OR body:same OR title:same^0.5", "b": "title:word4 OR title:none", "c": "body:é", "d": "body:none", "e": "body:same AND body:word9", "f": "body:(word1 OR word2 OR word11)"}
+
+
+def test_a_batch_makes_no_row_for_a_query_document_and_term(spark):
+    rows = [*ROWS, ("x", 1, False, {"title": "word4 word4"}, {}, 64), ("y", 1, False, {}, {}, 65), ("z", 1, True, {"body": "same"}, {}, 66)]
+    schema = IndexSchema([Field("title", FieldType.TEXT, boost=0.0, analyzer=StandardAnalyzer()), Field("body", FieldType.TEXT, analyzer=StandardAnalyzer())])
+    index = build_index(spark.createDataFrame(rows, MUTATION), schema).persist(postings=False)
+    stored = build_index(spark.createDataFrame(rows, MUTATION), schema).persist()
+    every = {}
+    for r in batch_search(index, BATCH, None).collect():
+        every.setdefault(r.query_id, []).append((-r.score, r.doc_id))
+    assert 0.0 in {x[0] for x in every["b"]} and "d" not in every
+    for k in (1, 3, 100):
+        want = {(q, d, -x, n + 1) for q, hits in every.items() for n, (x, d) in enumerate(sorted(hits)[:k])}
+        for one in (index, stored):
+            assert {tuple(r) for r in batch_search(one, BATCH, k).collect()} == want
+    assert "collect_list" not in plan_of(batch_search(index, {q: BATCH[q] for q in "abcf"}, 3))
+
+
+def test_best_are_kept_across_blocks(spark, monkeypatch):
+    from lexspark.functions import batch
+
+    whole = [tuple(r) for r in _ranked().hits_of(ROWS)]
+    monkeypatch.setattr(batch, "MOST_SCORES", 5)
+    assert [tuple(r) for r in _ranked().hits_of(ROWS)] == whole and len(whole) == 2 * 4
+
+
+def _ranked():
+    from lexspark.functions.batch import BatchRanking
+
+    class Ranked(BatchRanking):
+        def hits_of(self, rows):
+            self.texts(pa.array([r[0] for r in rows]), [("body", StandardAnalyzer(), [r[3]["body"].encode() for r in rows])])
+            return [r.values() for b in self.hits() for r in b.to_pylist()]
+
+    return Ranked([("p", "body", "same", 1.0, 0.5, 4.0), ("p", "body", "word60", 2.0, 3.0, 4.0), ("q", "body", "word5", 1.0, 3.0, 4.0), ("q", "body", "same", 1.0, 0.5, 4.0)], 4, 1.2, 0.75)
+
+
+def test_many_frequencies_are_counted_by_task(spark, monkeypatch):
+    index = build_index(spark.createDataFrame(ROWS, MUTATION), IndexSchema.default()).persist(postings=False)
+    leaves = [("body", "same"), ("title", "same"), ("body", "word7"), ("body", "é"), ("title", "é")]
+    want = dict(zip(leaves, (64, 64, 1, 64, 0)))
+    assert {(r.field, r.term): r.df for r in counts_of(index.docs, index.schema, leaves).collect()} == {x: n for x, n in want.items() if n}
+    monkeypatch.setattr(IndexView, "MOST_LITERALS", 1)
+    assert index.frequencies(leaves) == want and index._found[1] is None
