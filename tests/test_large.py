@@ -119,3 +119,17 @@ def test_many_frequencies_are_counted_by_task(spark, monkeypatch):
 def test_resolved_documents_stay_dealt(spark):
     rows = latest(spark.createDataFrame(ROWS, MUTATION), IndexSchema.default())
     assert rows.rdd.getNumPartitions() == 8 and rows.count() == 64
+
+
+def test_a_range_reads_dealt_documents(spark):
+    key = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+    spark.conf.set(key, "true")
+    try:
+        schema = IndexSchema([Field("title", FieldType.TEXT, analyzer=StandardAnalyzer()), Field("n", FieldType.INT64, indexed=False)])
+        rows = [(f"r{k}", 1, False, {"title": "x"}, {"n": str(k)}, k) for k in range(64)]
+        index = build_index(spark.createDataFrame(rows, MUTATION), schema).persist(postings=False)
+        for query, n in (("n:[5 TO 10]", 6), ("title:*", 64)):
+            found = search(index, query)
+            assert found.total_hits == n and found.matches.rdd.getNumPartitions() == 8
+    finally:
+        spark.conf.unset(key)
